@@ -25,6 +25,11 @@ _DOC = "design.subgraphs[].documents[]"
 TRIPLES = "batch_id long, path string, ordinals array<int>, value string, kind string"
 
 
+def _key(k: str) -> str:
+    """A key as a path step; the path's own signs are escaped."""
+    return k.replace("\\", "\\\\").replace(".", "\\.").replace("[]", "\\[]") if "." in k or "[" in k or "\\" in k else k
+
+
 def _strict(_: str):
     raise ValueError("not JSON")
 
@@ -59,7 +64,7 @@ def triples_of(payload: str | None) -> list[tuple[str, tuple[int, ...], str | No
             v = [v]
         if isinstance(v, dict):
             out.append((path, at, None, "object"))
-            work += [(f"{path}.{k}" if path else k, at, x) for k, x in reversed(v.items())]
+            work += [(f"{path}.{_key(k)}" if path else _key(k), at, x) for k, x in reversed(v.items())]
         elif isinstance(v, list):
             work += [(f"{path}[]", (*at, i), v[i]) for i in range(len(v) - 1, -1, -1)]
         elif v is None:
