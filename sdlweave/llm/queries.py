@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sdlweave.llm import containers as C
 from sdlweave.llm import near_duplicates as D
 from sdlweave.llm import pieces as P
+from sdlweave.llm import spam as S
 from sdlweave.llm import tokens as T
 from sdlweave.llm import vector_neighbors as V
 from sdlweave.runtime import table
@@ -45,7 +46,15 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return C.containers(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_neighbours, p4_found, p4_pieces, p7_ids, p8_containers)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return S.spam(table(spark, d, "documents")).select("doc_id")
+
+
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    return S.spam(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_neighbours, p4_found, p4_pieces, p7_ids, p8_containers, p9_found, p9_scores)}
 
 _USABLE = """v as (select stored_id as i, list_transform(embedding, lambda x: x::double) as e from stored_documents
   where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64 and len(list_filter(embedding, lambda x: x <> 0)) > 0)"""

@@ -2,17 +2,22 @@
 
 Unit vectors are projected to ``DIMS`` dimensions by fixed Gaussian directions, a 2-stable projection: the
 squared projected distance over the squared true distance follows a chi-square law with DIMS degrees of
-freedom. A kd-tree over the projections, fitted on a bounded sample, has cells to which every vector is
-assigned; the cells' bounding boxes are exact, taken over all rows. A query first verifies its own
-block of its cell and so learns a bound on the distance of its k-th neighbour (never beyond the distance
-that belongs to similarity 0.85). It then goes on, cell by cell, to every cell whose box is nearer in
-projection than the chi-square test allows: it stops where
-``chi2_cdf(box_distance^2 / kth_distance^2) >= CONFIDENCE``. All vectors of a visited cell are verified in
-double precision, so the test errs only by cells left out.
+freedom. A kd-tree over the projections, fitted on a bounded sample, deals the vectors to cells, and
+neighbouring cells (a subtree) to groups.
 
-Copies of a vector are searched once: their up to k + 1 smallest ids stand for the group in other rows'
-lists and every copy gets its own list. Cells are cut into blocks of bounded size by exact counts, and the
-queries that visit a block into bounded portions, so neither a hot cell nor a popular one is one task.
+Every row first learns a bound on the distance of its k-th neighbour from that sample. Rows with a full
+list there are *dense*; the others are *sparse* and keep the distance that belongs to similarity 0.85. A query
+then goes on from its own cell to every cell whose bounding box (exact, over all dense rows) is nearer in
+projection than the chi-square test allows: it stops where
+``chi2_cdf(box_distance^2 / kth_distance^2) >= CONFIDENCE``. The vectors of a visited cell are all
+verified, in double precision at the end, so the test errs only by cells left out. Sparse rows are few
+per place and have no box worth testing: a dense row does not look for them, they look for it, and the
+pair is entered in both lists; among themselves they meet in the group of the lower number.
+
+A vector is sent once to its group and once to each group it visits. Copies of a vector are searched
+once: their up to k + 1 smallest ids stand for the group in other rows' lists and every copy gets its
+own list. Groups are cut into blocks of bounded size by exact counts, and their visitors into bounded
+portions, so neither a hot cell nor a popular one is one task.
 """
 
 from __future__ import annotations
@@ -30,11 +35,11 @@ from sdlweave.runtime import BROADCAST_ROWS, stage
 
 K, LEAST, WIDTH = 10, 0.85, 64
 #: Projected dimensions, and the level of the chi-square stopping test.
-DIMS, CONFIDENCE = 8, 0.99
-#: Rows of the sample on which the tree's planes are fitted, rows aimed at per cell, most cells.
-SAMPLE, CELL_ROWS, MAX_CELLS = 16_384, 1_500, 1_024
-#: Most rows (by hash, on average) of one block and queries of one portion.
-BLOCK_ROWS, PORTION = 6_000, 12_000
+DIMS, CONFIDENCE = 16, 0.99
+#: Rows of the sample (for the tree's planes and the first bounds), rows aimed at per cell, most cells.
+SAMPLE, CELL_ROWS, MAX_CELLS = 16_384, 256, 1_024
+#: Rows aimed at per group; most rows (on average, by hash) of one block and visitors of one portion.
+GROUP_ROWS, BLOCK_ROWS, PORTION = 16_000, 24_000, 48_000
 
 
 def chi2_quantile(p: float, dims: int = DIMS) -> float:
@@ -87,27 +92,37 @@ class Tree:
         return node - (1 << self.levels)
 
 
-def _assigner(tree: Tree):
+def _scorer(tree: Tree, sample_ids: np.ndarray, sample: np.ndarray):
+    """Adds cell and first bound: the k-th best similarity within the sample, LEAST where there is none above."""
+    fitted = np.ascontiguousarray(sample.T.astype(np.float32))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                p = _matrix(b.column(1)) @ _DIRECTIONS
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(tree.cells(p).astype(np.int32))], names=["vid", "vec", "cell"])
+            if not b.num_rows:
+                continue
+            ids, x = b.column(0).to_numpy(zero_copy_only=False), _matrix(b.column(1))
+            bound = np.full(len(x), LEAST)
+            if len(sample) > K:
+                for at in range(0, len(x), 256):
+                    s = x[at : at + 256].astype(np.float32) @ fitted
+                    s[ids[at : at + 256, None] == sample_ids[None]] = -2
+                    bound[at : at + 256] = np.maximum(LEAST, np.partition(s, s.shape[1] - K, axis=1)[:, s.shape[1] - K] - 1e-5)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(tree.cells(x @ _DIRECTIONS).astype(np.int32)), pa.array(bound)], names=["vid", "vec", "cell", "bound"])
 
     return run
 
 
-def _boxer(tree: Tree, n: int):
-    """Per task one row a cell: count and bounds of its projections."""
+def _boxer(n: int):
+    """Per task one row a cell: count, and bounds of the projections of its dense rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lo, hi, count = np.full((n, DIMS), np.inf), np.full((n, DIMS), -np.inf), np.zeros(n, np.int64)
         for b in batches:
             if b.num_rows:
-                p = _matrix(b.column(1)) @ _DIRECTIONS
-                c = tree.cells(p)
-                np.minimum.at(lo, c, p)
-                np.maximum.at(hi, c, p)
+                c, dense = b.column(2).to_numpy(), b.column(3).to_numpy() > LEAST
+                p = (_matrix(b.column(1)) @ _DIRECTIONS)[dense]
+                np.minimum.at(lo, c[dense], p)
+                np.maximum.at(hi, c[dense], p)
                 count += np.bincount(c, minlength=n)
         has = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(has.astype(np.int32)), pa.array(count[has]), pa.array(list(lo[has]), pa.list_(pa.float64())), pa.array(list(hi[has]), pa.list_(pa.float64()))], names=["cell", "n", "lo", "hi"])
@@ -115,35 +130,36 @@ def _boxer(tree: Tree, n: int):
     return run
 
 
-def best(q_ids: np.ndarray, q: np.ndarray, d_ids: np.ndarray, d: np.ndarray, floor: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query the ids and similarities of its K best in ``d`` from ``floor`` on, itself excluded.
-
-    Similarities are rounded to 9 decimals; the smaller id wins a tie. ``d_ids`` ascend.
-    """
-    out = []
-    for at in range(0, len(q), 512):
-        s = q[at : at + 512] @ d.T
-        rows = np.arange(len(s))
-        own = np.minimum(np.searchsorted(d_ids, q_ids[at : at + 512]), len(d_ids) - 1)
-        same = d_ids[own] == q_ids[at : at + 512]
-        s[rows[same], own[same]] = -2
-        least = floor[at : at + 512] - 1e-9
-        if s.shape[1] > K:
-            least = np.maximum(least, np.partition(s, s.shape[1] - K, axis=1)[:, s.shape[1] - K] - 2e-9)
-        r, c = np.nonzero(s >= least[:, None])
-        sim = np.round(s[r, c], 9)
-        order = np.lexsort((d_ids[c], -sim, r))
-        r, c, sim = r[order], c[order], sim[order]
-        first = np.searchsorted(r, rows)
-        keep = (np.arange(len(r)) - first[r] < K) & (sim >= floor[at : at + 512][r])
-        r, c, sim = r[keep], c[keep], sim[keep]
-        cuts = np.searchsorted(r, np.arange(len(s) + 1))
-        out += [(d_ids[c[i:j]], sim[i:j]) for i, j in zip(cuts[:-1], cuts[1:])]
+def _gaps(p: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Squared distance of each projection to each box; an empty box is infinitely far."""
+    out = np.zeros((len(p), len(lo)))
+    for d in range(DIMS):
+        out += np.maximum(np.maximum(lo[None, :, d] - p[:, d, None], p[:, d, None] - hi[None, :, d]), 0) ** 2
     return out
 
 
-def _sorted_table(t: pa.Table) -> pa.Table:
-    return t.sort_by("vid").combine_chunks()
+def _router(cells: np.ndarray, lo: np.ndarray, hi: np.ndarray, group_of: np.ndarray, groups: int):
+    """The row itself for its group, and a visitor for each group with a cell that passes the test."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                b = whole.slice(at, 2000)
+                bound, own = b.column(3).to_numpy(), group_of[b.column(2).to_numpy()]
+                near = _gaps(_matrix(b.column(1)) @ _DIRECTIONS, lo, hi) < (2 - 2 * bound[:, None]) * REACH
+                go = np.zeros((b.num_rows, groups), bool)
+                rows, which = np.nonzero(near)
+                go[rows, group_of[cells[which]]] = True
+                go |= (bound == LEAST)[:, None] & (np.arange(groups)[None] < own[:, None])
+                go[np.arange(b.num_rows), own] = False
+                row, to = np.nonzero(go)
+                row = np.concatenate([np.arange(b.num_rows), row])
+                grp = np.concatenate([own, to]).astype(np.int32)
+                visit = np.arange(len(row)) >= b.num_rows
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(grp), pa.array(visit), *[b.column(i).take(take) for i in range(4)]], names=["grp", "visit", "vid", "vec", "cell", "bound"])
+
+    return run
 
 
 def _column(t: pa.Table, name: str) -> pa.Array:
@@ -151,36 +167,105 @@ def _column(t: pa.Table, name: str) -> pa.Array:
     return c.chunk(0) if c.num_chunks == 1 else pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type)
 
 
-def _home(boxes: dict):
-    """Own block first: lists, and the cells to visit under the chi-square test."""
-    cells, lo, hi = boxes["cells"].astype(np.int32), boxes["lo"], boxes["hi"]
-
-    def run(t: pa.Table) -> pa.Table:
-        t = _sorted_table(t)
-        ids, x = _column(t, "vid").to_numpy(), _matrix(_column(t, "vec"))
-        cell, block = int(t.column("cell")[0].as_py()), int(t.column("block")[0].as_py())
-        found = best(ids, x, ids, x, np.full(len(ids), LEAST))
-        bound = np.array([s[-1] if len(s) == K else LEAST for _, s in found])
-        p = x @ _DIRECTIONS
-        visits = []
-        for at in range(0, len(p), 512):
-            gap = np.maximum(np.maximum(lo[None] - p[at : at + 512, None], p[at : at + 512, None] - hi[None]), 0)
-            visits.append((gap**2).sum(2) < (2 - 2 * bound[at : at + 512, None]) * REACH + 1e-12)
-        go = np.concatenate(visits)
-        n = len(ids)
-        return pa.table({"vid": pa.array(ids), "cell": pa.array(np.full(n, cell, np.int32)), "block": pa.array(np.full(n, block, np.int32)), "bound": pa.array(bound), "to": pa.array([cells[g] for g in go], pa.list_(pa.int32())), "ids": pa.array([list(i) for i, _ in found], pa.list_(pa.int64())), "sims": pa.array([list(s) for _, s in found], pa.list_(pa.float64()))})
-
-    return run
-
-
-def _visit(queries: pa.Table, data: pa.Table) -> pa.Table:
-    data, queries = _sorted_table(data), _sorted_table(queries)
-    if not data.num_rows or not queries.num_rows:
-        return pa.table({"vid": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int64())), "sims": pa.array([], pa.list_(pa.float64()))})
-    q_ids = _column(queries, "vid").to_numpy()
-    found = best(q_ids, _matrix(_column(queries, "vec")), _column(data, "vid").to_numpy(), _matrix(_column(data, "vec")), _column(queries, "bound").to_numpy())
-    has = [i for i, (a, _) in enumerate(found) if len(a)]
-    return pa.table({"vid": pa.array(q_ids[has]), "ids": pa.array([list(found[i][0]) for i in has], pa.list_(pa.int64())), "sims": pa.array([list(found[i][1]) for i in has], pa.list_(pa.float64()))})
+def _top(owner: np.ndarray, ids: np.ndarray, sims: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The K best of each owner, by similarity and then id; owners ascend."""
+    order = np.lexsort((ids, -sims, owner))
+    owner, ids, sims = owner[order], ids[order], sims[order]
+    first = np.searchsorted(owner, owner)
+    keep = np.arange(len(owner)) - first < K
+    return owner[keep], ids[keep], sims[keep]
+
+
+class Block:
+    """The rows of one block, cell by cell, and the search among them."""
+
+    def __init__(self, t: pa.Table) -> None:
+        t = t.sort_by([("cell", "ascending"), ("vid", "ascending")])
+        self.ids, self.cell, self.bound = (_column(t, c).to_numpy().copy() for c in ("vid", "cell", "bound"))
+        self.x = _matrix(_column(t, "vec"))
+        self.x32 = self.x.astype(np.float32)
+        self.p = self.x @ _DIRECTIONS
+        self.dense = self.bound > LEAST
+        self.cells = np.unique(self.cell)
+        self.members = [np.flatnonzero(self.dense & (self.cell == c)) for c in self.cells]
+        self.sparse = np.flatnonzero(~self.dense)
+        box = [(self.p[m].min(0), self.p[m].max(0)) if len(m) else (np.full(DIMS, np.inf), np.full(DIMS, -np.inf)) for m in self.members]
+        self.lo, self.hi = np.array([b[0] for b in box]).reshape(-1, DIMS), np.array([b[1] for b in box]).reshape(-1, DIMS)
+
+    def score(self, q: np.ndarray, q_ids: np.ndarray, bound: np.ndarray, pick: np.ndarray, cut: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query, row and similarity from the query's bound on; with ``cut`` at least its K best here."""
+        s = q.astype(np.float32) @ self.x32[pick].T
+        least = bound - 1e-5
+        if cut and s.shape[1] > K + 1:
+            least = np.maximum(least, np.partition(s, s.shape[1] - K - 1, axis=1)[:, s.shape[1] - K - 1] - 1e-5)
+        r, c = np.nonzero(s >= least[:, None])
+        c = pick[c]
+        other = q_ids[r] != self.ids[c]
+        r, c = r[other], c[other]
+        sims = np.round(np.einsum("ij,ij->i", q[r], self.x[c]), 9)
+        ok = sims >= bound[r]
+        return r[ok], c[ok], sims[ok]
+
+    def search(self, q: np.ndarray, p: np.ndarray, q_ids: np.ndarray, bound: np.ndarray, home: list[np.ndarray] | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Yields query numbers, their hits as (query, row, similarity). ``home``: rows of this block, by cell."""
+        if not len(q) or not len(self.ids):
+            return
+        sparse_q = bound <= LEAST
+        chunks: list[np.ndarray] = []
+        for part in home if home is not None else [np.flatnonzero(~sparse_q)]:
+            if home is None and len(part):  # visitors with near targets together
+                part = part[np.argsort(np.argmin(_gaps(p[part], self.lo, self.hi), axis=1), kind="stable")]
+            chunks += [part[i : i + 256] for i in range(0, len(part), 256)]
+        for n in chunks:
+            b = bound[n]
+            if home is not None:  # the own cell first
+                own = self.members[int(np.searchsorted(self.cells, self.cell[n[0]]))]
+                if len(own) > K:
+                    s = q[n].astype(np.float32) @ self.x32[own].T
+                    b = np.maximum(b, np.partition(s, len(own) - K - 1, axis=1)[:, len(own) - K - 1] - 1e-5)
+            near = (_gaps(p[n], self.lo, self.hi) < (2 - 2 * b[:, None]) * REACH).any(0)
+            pick = np.concatenate([np.zeros(0, np.int64), *[m for m, go in zip(self.members, near) if go]])
+            if len(pick):
+                yield n, *self.score(q[n], q_ids[n], b, pick, True)
+        far = np.flatnonzero(sparse_q)
+        for at in range(0, len(far), 256):
+            n = far[at : at + 256]
+            near = (_gaps(p[n], self.lo, self.hi) < (2 - 2 * bound[n, None]) * REACH).any(0)
+            pick = np.concatenate([self.sparse, *[m for m, go in zip(self.members, near) if go]])
+            if len(pick):
+                yield n, *self.score(q[n], q_ids[n], bound[n], pick, False)
+
+
+def _solve(t: pa.Table) -> pa.Table:
+    """Lists of one block's rows (in portion 0) and of one portion of its visitors."""
+    visit = _column(t, "visit").to_numpy(zero_copy_only=False)
+    block = Block(t.filter(pa.array(~visit)))
+    guests = t.filter(pa.array(visit))
+    owners, ids, sims = [], [], []
+
+    def take(q_ids: np.ndarray, q_sparse: np.ndarray, hits: Iterator) -> None:
+        for n, r, c, s in hits:
+            owners.append(q_ids[n[r]])
+            ids.append(block.ids[c])
+            sims.append(s)
+            both = q_sparse[n[r]] & (s >= block.bound[c])
+            owners.append(block.ids[c[both]])
+            ids.append(q_ids[n[r[both]]])
+            sims.append(s[both])
+
+    if len(block.ids) and _column(t, "portion")[0].as_py() == 0:
+        take(block.ids, ~block.dense, block.search(block.x, block.p, block.ids, block.bound, block.members))
+    if guests.num_rows:
+        g_ids, g_bound, x = _column(guests, "vid").to_numpy(), _column(guests, "bound").to_numpy(), _matrix(_column(guests, "vec"))
+        take(g_ids, g_bound <= LEAST, block.search(x, x @ _DIRECTIONS, g_ids, g_bound, None))
+    pairs = [np.concatenate(x) if x else np.zeros(0, k) for x, k in ((owners, np.int64), (ids, np.int64), (sims, np.float64))]
+    if len(pairs[0]):
+        once = np.unique(np.rec.fromarrays(pairs, names="o,i,s"))
+        pairs = [once.o, once.i, once.s]
+    o, i, s = _top(*pairs)
+    who, first = np.unique(o, return_index=True)
+    offsets = pa.array(np.append(first, len(o)).astype(np.int32))
+    return pa.table({"vid": pa.array(who), "ids": pa.ListArray.from_arrays(offsets, pa.array(i)), "sims": pa.ListArray.from_arrays(offsets, pa.array(s))})
 
 
 def distinct_vectors(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -208,31 +293,41 @@ def nearest(vectors: DataFrame, key: str = "stored_id", vector: str = "embedding
 def _lists(spark, rows: DataFrame) -> DataFrame:
     shape = "vid long, ids array<long>, sims array<double>"
     # the sample: the rows whose hashed ids are smallest, the same at every run
-    sample = rows.orderBy(F.xxhash64("vid"), "vid").limit(SAMPLE).select("vec").toArrow()
+    sample = rows.orderBy(F.xxhash64("vid"), "vid").limit(SAMPLE).select("vid", "vec").toArrow()
     if not sample.num_rows:
         return spark.createDataFrame([], shape)
-    total = rows.count()
-    levels = max(0, min(int(math.log2(MAX_CELLS)), round(math.log2(max(1.0, total / CELL_ROWS))), int(math.log2(max(1, sample.num_rows // 8)))))
-    tree = Tree(_matrix(_column(sample, "vec")) @ _DIRECTIONS, levels)
-    found = rows.mapInArrow(_boxer(tree, 1 << levels), "cell int, n long, lo array<double>, hi array<double>")
+    points = _matrix(_column(sample, "vec"))
+    total = rows.count() if sample.num_rows == SAMPLE else sample.num_rows
+    log = lambda x: max(0, round(math.log2(max(1.0, x))))
+    levels = min(log(MAX_CELLS), log(total / CELL_ROWS), int(math.log2(max(1, sample.num_rows // 8))))
+    top = min(levels, log(total / GROUP_ROWS))
+    groups, group_of = 1 << top, np.arange(1 << levels) >> (levels - top)
+    tree = Tree(points @ _DIRECTIONS, levels)
+    scored = stage(rows.mapInArrow(_scorer(tree, _column(sample, "vid").to_numpy(), points), "vid long, vec array<float>, cell int, bound double"))
+    found = scored.mapInArrow(_boxer(1 << levels), "cell int, n long, lo array<double>, hi array<double>")
     per = found.groupBy("cell").agg(F.sum("n").alias("n"), *[F.min(F.col("lo")[i]).alias(f"lo{i}") for i in range(DIMS)], *[F.max(F.col("hi")[i]).alias(f"hi{i}") for i in range(DIMS)]).orderBy("cell").toPandas()  # at most MAX_CELLS rows
-    blocks = np.maximum(1, -(-per["n"].to_numpy() // BLOCK_ROWS)).astype(np.int64)
-    boxes = {"cells": per["cell"].to_numpy(), "lo": per[[f"lo{i}" for i in range(DIMS)]].to_numpy(), "hi": per[[f"hi{i}" for i in range(DIMS)]].to_numpy()}
-    sizes = F.broadcast(spark.createDataFrame([(int(c), int(n)) for c, n in zip(boxes["cells"], blocks)], "cell int, blocks long"))
-    placed = rows.mapInArrow(_assigner(tree), "vid long, vec array<float>, cell int").join(sizes, "cell").select("vid", "vec", "cell", F.pmod(F.xxhash64("vid"), "blocks").cast("int").alias("block"))
-    home = stage(placed.groupBy("cell", "block").applyInArrow(_home(boxes), "vid long, cell int, block int, bound double, to array<int>, ids array<long>, sims array<double>"))
-    target = lambda c, b: F.shiftleft(F.col(c).cast("long"), 32) + F.col(b)
-    going = home.select("vid", F.col("cell").alias("own_cell"), F.col("block").alias("own_block"), "bound", F.explode("to").alias("cell")).join(sizes, "cell")
-    going = going.withColumn("block", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))).filter("cell <> own_cell or block <> own_block").select("vid", "bound", target("cell", "block").alias("target"))
-    portions = stage(going.groupBy("target").agg(F.ceil(F.count(F.lit(1)) / PORTION).cast("int").alias("portions")))  # a row a block
-    queries = going.join(portions, "target").withColumn("portion", F.pmod(F.xxhash64("vid", F.lit(3)), F.col("portions").cast("long")).cast("int")).join(rows, "vid").select("target", "portion", "vid", "bound", "vec")
-    data = placed.select(target("cell", "block").alias("target"), "vid", "vec").join(portions, "target").select("target", F.explode(F.sequence(F.lit(0), F.col("portions") - 1)).alias("portion"), "vid", "vec")
-    more = queries.groupBy("target", "portion").cogroup(data.groupBy("target", "portion")).applyInArrow(lambda a, b: _visit(a, b), shape)
-    pairs = F.arrays_zip("ids", "sims")
-    everything = home.select("vid", pairs.alias("l")).union(more.select("vid", pairs.alias("l")))
-    merged = everything.groupBy("vid").agg(F.flatten(F.collect_list("l")).alias("l"))  # at most K entries a visited block
-    top = F.slice(F.array_sort(F.transform("l", lambda x: F.struct((-x["sims"]).alias("s"), x["ids"].alias("i")))), 1, K)
-    return merged.select("vid", top.alias("l")).select("vid", F.transform("l", lambda x: x["i"]).alias("ids"), F.transform("l", lambda x: -x["s"]).alias("sims"))
+    cells, lo, hi = per["cell"].to_numpy(), per[[f"lo{i}" for i in range(DIMS)]].to_numpy(), per[[f"hi{i}" for i in range(DIMS)]].to_numpy()
+    blocks = np.maximum(1, -(-np.bincount(group_of[cells], weights=per["n"].to_numpy(), minlength=groups).astype(np.int64) // BLOCK_ROWS))
+    routed = scored.mapInArrow(_router(cells, lo, hi, group_of, groups), "grp int, visit boolean, vid long, vec array<float>, cell int, bound double")
+    if groups == 1 and blocks[0] == 1:
+        placed = routed.withColumns({"block": F.lit(0), "portion": F.lit(0)})
+    else:
+        visitors = routed.filter("visit").groupBy("grp").agg(F.count(F.lit(1)).alias("n")).collect() if total > PORTION else []  # a row a group
+        portions = {r["grp"]: -(-r["n"] // PORTION) for r in visitors}
+        sizes = F.broadcast(spark.createDataFrame([(g, int(blocks[g]), int(portions.get(g, 1))) for g in range(groups)], "grp int, blocks int, portions int"))
+        known = routed.join(sizes, "grp")
+        own = F.pmod(F.xxhash64("vid"), F.col("blocks").cast("long")).cast("int")
+        share = F.pmod(F.xxhash64("vid", F.lit(3)), F.col("portions").cast("long")).cast("int")
+        # a row lies in its block, for all portions of visitors; it visits the other blocks of its group
+        here = F.transform(F.sequence(F.lit(0), F.col("portions") - 1), lambda p: F.struct(F.lit(False).alias("visit"), own.alias("block"), p.alias("portion")))
+        there = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.lit(True).alias("visit"), b.alias("block"), share.alias("portion")))
+        spots = F.when(F.col("visit"), there).otherwise(F.concat(here, F.filter(there, lambda x: x["block"] != own)))
+        placed = known.withColumn("spot", F.explode(spots)).select("grp", "spot.block", "spot.portion", "spot.visit", "vid", "vec", "cell", "bound")
+    solved = placed.groupBy("grp", "block", "portion").applyInArrow(_solve, shape)
+    entries = F.flatten(F.collect_list(F.arrays_zip("ids", "sims")))  # at most K entries a block that was visited
+    ranked = F.array_sort(F.array_distinct(F.transform(entries, lambda x: F.struct((-x["sims"]).alias("s"), x["ids"].alias("i")))))
+    merged = solved.groupBy("vid").agg(F.slice(ranked, 1, K).alias("l"))
+    return merged.select("vid", F.transform("l", lambda x: x["i"]).alias("ids"), F.transform("l", lambda x: -x["s"]).alias("sims"))
 
 
 def neighbours(vectors: DataFrame, key: str = "stored_id", vector: str = "embedding") -> DataFrame:
