@@ -2,17 +2,18 @@
 
 Unit vectors are projected to ``DIMS`` dimensions by fixed Gaussian directions, a 2-stable projection: the
 squared projected distance over the squared true distance follows a chi-square law with DIMS degrees of
-freedom. A kd-tree over the projections, fitted on a bounded sample, deals the vectors to cells, and
-neighbouring cells (a subtree) to groups.
-
-Every row first learns a bound on the distance of its k-th neighbour from that sample. Rows with a full
-list there are *dense*; the others are *sparse* and keep the distance that belongs to similarity 0.85. A query
-then goes on from its own cell to every cell whose bounding box (exact, over all dense rows) is nearer in
-projection than the chi-square test allows: it stops where
-``chi2_cdf(box_distance^2 / kth_distance^2) >= CONFIDENCE``. The vectors of a visited cell are all
-verified, in double precision at the end, so the test errs only by cells left out. Sparse rows are few
-per place and have no box worth testing: a dense row does not look for them, they look for it, and the
-pair is entered in both lists; among themselves they meet in the group of the lower number.
+freedom. On a bounded sample, prototypes are chosen that cover it, and a kd-tree over their projections
+makes groups of near prototypes. Every row goes to the cell of its nearest prototype; rows too far
+from any are *outer* rows, the others *inner* rows. A cell's radius and the box of its projections are
+exact, taken over all its inner rows.
+
+A query visits a cell only if two tests leave it open. The triangle inequality in the full space, which loses
+nothing; and, in projection, the chi-square stopping test: the search goes on while
+``chi2_cdf(box_distance^2 / kth_distance^2) < CONFIDENCE``, where the k-th distance starts at the one that
+belongs to similarity 0.85 and shrinks to what the query found in its own cell. The vectors of a
+visited cell are all verified, in double precision at the end, so only cells left out can be missed. Inner
+rows do not look for outer rows: an outer row visits the cells near it and the pair is entered in both
+lists. Outer rows meet each other in a group of their own.
 
 A vector is sent once to its group and once to each group it visits. Copies of a vector are searched
 once: their up to k + 1 smallest ids stand for the group in other rows' lists and every copy gets its
@@ -35,9 +36,9 @@ from sdlweave.runtime import BROADCAST_ROWS, stage
 
 K, LEAST, WIDTH = 10, 0.85, 64
 #: Projected dimensions, and the level of the chi-square stopping test.
-DIMS, CONFIDENCE = 16, 0.99
-#: Rows of the sample (for the tree's planes and the first bounds), rows aimed at per cell, most cells.
-SAMPLE, CELL_ROWS, MAX_CELLS = 16_384, 256, 1_024
+DIMS, CONFIDENCE = 24, 0.9999
+#: Rows of the sample that prototypes are chosen from; similarity within which one covers a sample row or holds a row.
+SAMPLE, COVER, HOLD = 16_384, 0.88, 0.86
 #: Rows aimed at per group; most rows (on average, by hash) of one block and visitors of one portion.
 GROUP_ROWS, BLOCK_ROWS, PORTION = 16_000, 24_000, 48_000
 
@@ -53,6 +54,7 @@ def chi2_quantile(p: float, dims: int = DIMS) -> float:
 
 
 REACH = chi2_quantile(CONFIDENCE)
+FARTHEST = math.sqrt(2 - 2 * LEAST)
 _DIRECTIONS = np.random.default_rng(2718).standard_normal((WIDTH, DIMS))
 
 
@@ -69,95 +71,99 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-class Tree:
-    """Planes of a complete kd-tree: at each level the widest dimension is cut at its median."""
-
-    def __init__(self, points: np.ndarray, levels: int) -> None:
-        self.levels = levels
-        self.dim = np.zeros(1 << levels, np.int64)
-        self.cut = np.zeros(1 << levels)
-        parts = {1: points}
-        for node in range(1, 1 << levels):
-            p = parts.pop(node)
-            if len(p):
-                self.dim[node] = int(np.argmax(p.max(0) - p.min(0)))
-                self.cut[node] = float(np.median(p[:, self.dim[node]]))
-            right = p[:, self.dim[node]] > self.cut[node]
-            parts[2 * node], parts[2 * node + 1] = p[~right], p[right]
-
-    def cells(self, points: np.ndarray) -> np.ndarray:
-        node = np.ones(len(points), np.int64)
-        for _ in range(self.levels):
-            node = 2 * node + (points[np.arange(len(points)), self.dim[node]] > self.cut[node])
-        return node - (1 << self.levels)
-
-
-def _scorer(tree: Tree, sample_ids: np.ndarray, sample: np.ndarray):
-    """Adds cell and first bound: the k-th best similarity within the sample, LEAST where there is none above."""
-    fitted = np.ascontiguousarray(sample.T.astype(np.float32))
+def prototypes(x: np.ndarray) -> np.ndarray:
+    """Numbers of rows such that every row is within COVER of one of them, chosen in order."""
+    open_rows, chosen = np.ones(len(x), bool), []
+    y = x.astype(np.float32)
+    for i in range(len(x)):
+        if open_rows[i]:
+            chosen.append(i)
+            open_rows &= (y @ y[i]) < COVER
+            open_rows[i] = False
+    return np.array(chosen, np.int64)
+
+
+def kd_groups(points: np.ndarray, weight: np.ndarray, levels: int) -> np.ndarray:
+    """The leaf of each point in a complete kd-tree: at each level the widest dimension is cut at the weighted median."""
+    leaf = np.zeros(len(points), np.int64)
+    for _ in range(levels):
+        nxt = leaf * 2
+        for n in np.unique(leaf):
+            at = np.flatnonzero(leaf == n)
+            dim = int(np.argmax(points[at].max(0) - points[at].min(0)))
+            order = at[np.argsort(points[at, dim], kind="stable")]
+            half = np.searchsorted(np.cumsum(weight[order]), weight[order].sum() / 2)
+            nxt[order[half + 1 :]] += 1
+        leaf = nxt
+    return leaf
+
+
+def _holder(protos: np.ndarray):
+    """Adds the nearest prototype and whether it holds the row."""
+    table = np.ascontiguousarray(protos.T.astype(np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            ids, x = b.column(0).to_numpy(zero_copy_only=False), _matrix(b.column(1))
-            bound = np.full(len(x), LEAST)
-            if len(sample) > K:
-                for at in range(0, len(x), 256):
-                    s = x[at : at + 256].astype(np.float32) @ fitted
-                    s[ids[at : at + 256, None] == sample_ids[None]] = -2
-                    bound[at : at + 256] = np.maximum(LEAST, np.partition(s, s.shape[1] - K, axis=1)[:, s.shape[1] - K] - 1e-5)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(tree.cells(x @ _DIRECTIONS).astype(np.int32)), pa.array(bound)], names=["vid", "vec", "cell", "bound"])
+            if b.num_rows:
+                x = _matrix(b.column(1)).astype(np.float32)
+                cell, sim = np.zeros(len(x), np.int32), np.zeros(len(x), np.float32)
+                for at in range(0, len(x), 512):
+                    s = x[at : at + 512] @ table
+                    cell[at : at + 512] = s.argmax(1)
+                    sim[at : at + 512] = s.max(1)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell), pa.array(sim >= HOLD)], names=["vid", "vec", "cell", "inner"])
 
     return run
 
 
-def _boxer(n: int):
-    """Per task one row a cell: count, and bounds of the projections of its dense rows."""
+def _boxer(protos: np.ndarray):
+    """Per task one row a cell: inner rows, their largest distance from the prototype and bounds of their projections."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lo, hi, count = np.full((n, DIMS), np.inf), np.full((n, DIMS), -np.inf), np.zeros(n, np.int64)
+        n = len(protos)
+        lo, hi, far, count = np.full((n, DIMS), np.inf), np.full((n, DIMS), -np.inf), np.zeros(n), np.zeros(n, np.int64)
+        outer = 0
         for b in batches:
             if b.num_rows:
-                c, dense = b.column(2).to_numpy(), b.column(3).to_numpy() > LEAST
-                p = (_matrix(b.column(1)) @ _DIRECTIONS)[dense]
-                np.minimum.at(lo, c[dense], p)
-                np.maximum.at(hi, c[dense], p)
+                inner = b.column(3).to_numpy(zero_copy_only=False)
+                outer += int((~inner).sum())
+                c, x = b.column(2).to_numpy()[inner], _matrix(b.column(1))[inner]
+                p = x @ _DIRECTIONS
+                np.minimum.at(lo, c, p)
+                np.maximum.at(hi, c, p)
+                np.maximum.at(far, c, np.linalg.norm(x - protos[c], axis=1))
                 count += np.bincount(c, minlength=n)
         has = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(has.astype(np.int32)), pa.array(count[has]), pa.array(list(lo[has]), pa.list_(pa.float64())), pa.array(list(hi[has]), pa.list_(pa.float64()))], names=["cell", "n", "lo", "hi"])
+        cell = np.append(has, -1).astype(np.int32)  # -1: the outer rows
+        lists = [pa.array([*m[has], np.zeros(DIMS)], pa.list_(pa.float64())) for m in (lo, hi)]
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.append(count[has], outer)), pa.array(np.append(far[has], 0.0)), *lists], names=["cell", "n", "far", "lo", "hi"])
 
     return run
 
 
-def _gaps(p: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Squared distance of each projection to each box; an empty box is infinitely far."""
-    out = np.zeros((len(p), len(lo)))
-    for d in range(DIMS):
-        out += np.maximum(np.maximum(lo[None, :, d] - p[:, d, None], p[:, d, None] - hi[None, :, d]), 0) ** 2
-    return out
-
-
-def _router(cells: np.ndarray, lo: np.ndarray, hi: np.ndarray, group_of: np.ndarray, groups: int):
-    """The row itself for its group, and a visitor for each group with a cell that passes the test."""
+def _router(centre: np.ndarray, far: np.ndarray, lo: np.ndarray, hi: np.ndarray, group: np.ndarray, group_of: np.ndarray, groups: int):
+    """The row itself for its group (the last one for outer rows), and a visitor for each group with an open cell."""
+    table = np.ascontiguousarray(centre.T.astype(np.float32))
+    # the triangle inequality on similarities, with room for single precision
+    nearest = np.cos(np.minimum(2 * np.arcsin(np.minimum((far + FARTHEST) / 2, 1)), np.pi)).astype(np.float32) - np.float32(1e-4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                b = whole.slice(at, 2000)
-                bound, own = b.column(3).to_numpy(), group_of[b.column(2).to_numpy()]
-                near = _gaps(_matrix(b.column(1)) @ _DIRECTIONS, lo, hi) < (2 - 2 * bound[:, None]) * REACH
-                go = np.zeros((b.num_rows, groups), bool)
-                rows, which = np.nonzero(near)
-                go[rows, group_of[cells[which]]] = True
-                go |= (bound == LEAST)[:, None] & (np.arange(groups)[None] < own[:, None])
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
+                x, inner = _matrix(b.column(1)), b.column(3).to_numpy(zero_copy_only=False)
+                own = np.where(inner, group_of[b.column(2).to_numpy()], groups)
+                r, c = np.nonzero(x.astype(np.float32) @ table >= nearest[None])
+                p = x @ _DIRECTIONS
+                gap = (np.maximum(np.maximum(lo[c] - p[r], p[r] - hi[c]), 0) ** 2).sum(1)
+                ok = gap < FARTHEST**2 * REACH
+                go = np.zeros((b.num_rows, groups + 1), bool)
+                go[r[ok], group[c[ok]]] = True
                 go[np.arange(b.num_rows), own] = False
                 row, to = np.nonzero(go)
                 row = np.concatenate([np.arange(b.num_rows), row])
-                grp = np.concatenate([own, to]).astype(np.int32)
-                visit = np.arange(len(row)) >= b.num_rows
                 take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(grp), pa.array(visit), *[b.column(i).take(take) for i in range(4)]], names=["grp", "visit", "vid", "vec", "cell", "bound"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([own, to]).astype(np.int32)), pa.array(np.arange(len(row)) >= b.num_rows), *[b.column(i).take(take) for i in range(4)]], names=["grp", "visit", "vid", "vec", "cell", "inner"])
 
     return run
 
@@ -177,20 +183,21 @@ def _top(owner: np.ndarray, ids: np.ndarray, sims: np.ndarray) -> tuple[np.ndarr
 
 
 class Block:
-    """The rows of one block, cell by cell, and the search among them."""
+    """The rows of one block, cell by cell, and the search among them. A block holds inner rows or outer rows only."""
 
     def __init__(self, t: pa.Table) -> None:
         t = t.sort_by([("cell", "ascending"), ("vid", "ascending")])
-        self.ids, self.cell, self.bound = (_column(t, c).to_numpy().copy() for c in ("vid", "cell", "bound"))
+        self.ids, self.cell = (_column(t, c).to_numpy() for c in ("vid", "cell"))
+        self.outer = bool(len(self.ids)) and not _column(t, "inner")[0].as_py()
         self.x = _matrix(_column(t, "vec"))
         self.x32 = self.x.astype(np.float32)
         self.p = self.x @ _DIRECTIONS
-        self.dense = self.bound > LEAST
-        self.cells = np.unique(self.cell)
-        self.members = [np.flatnonzero(self.dense & (self.cell == c)) for c in self.cells]
-        self.sparse = np.flatnonzero(~self.dense)
-        box = [(self.p[m].min(0), self.p[m].max(0)) if len(m) else (np.full(DIMS, np.inf), np.full(DIMS, -np.inf)) for m in self.members]
-        self.lo, self.hi = np.array([b[0] for b in box]).reshape(-1, DIMS), np.array([b[1] for b in box]).reshape(-1, DIMS)
+        self.cells, first = np.unique(self.cell, return_index=True)
+        self.members = np.split(np.arange(len(self.ids)), first[1:])
+        self.lo = np.array([self.p[m].min(0) for m in self.members]).reshape(-1, DIMS)
+        self.hi = np.array([self.p[m].max(0) for m in self.members]).reshape(-1, DIMS)
+        self.mean = np.array([self.x[m].mean(0) for m in self.members]).reshape(-1, WIDTH)
+        self.far = np.array([np.linalg.norm(self.x[m] - c, axis=1).max() for m, c in zip(self.members, self.mean)])
 
     def score(self, q: np.ndarray, q_ids: np.ndarray, bound: np.ndarray, pick: np.ndarray, cut: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Query, row and similarity from the query's bound on; with ``cut`` at least its K best here."""
@@ -206,34 +213,46 @@ class Block:
         ok = sims >= bound[r]
         return r[ok], c[ok], sims[ok]
 
-    def search(self, q: np.ndarray, p: np.ndarray, q_ids: np.ndarray, bound: np.ndarray, home: list[np.ndarray] | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Yields query numbers, their hits as (query, row, similarity). ``home``: rows of this block, by cell."""
-        if not len(q) or not len(self.ids):
+    def bounds(self) -> np.ndarray:
+        """A bound on the k-th similarity of each row, from its own cell."""
+        out = np.full(len(self.ids), LEAST)
+        for m in self.members:
+            if len(m) > K:
+                for n in np.array_split(m, -(-len(m) // 512)):
+                    s = self.x32[n] @ self.x32[m].T
+                    out[n] = np.maximum(LEAST, np.partition(s, len(m) - K - 1, axis=1)[:, len(m) - K - 1] - 1e-5)
+        return out
+
+    def open_cells(self, q: np.ndarray, p: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Query and cell of each pair that neither the triangle inequality nor the chi-square test closes."""
+        rows, cells = [], []
+        reach = np.sqrt(2 - 2 * bound)
+        for at in range(0, len(q), 2000):
+            n = slice(at, at + 2000)
+            apart = np.sqrt(np.maximum(0, 1 + (self.mean**2).sum(1)[None] - 2 * q[n] @ self.mean.T))
+            r, c = np.nonzero(apart <= self.far[None] + reach[n, None] + 1e-6)
+            gap = (np.maximum(np.maximum(self.lo[c] - p[n][r], p[n][r] - self.hi[c]), 0) ** 2).sum(1)
+            ok = gap < reach[n][r] ** 2 * REACH + 1e-9
+            rows.append(r[ok] + at)
+            cells.append(c[ok])
+        return np.concatenate(rows), np.concatenate(cells)
+
+    def search(self, q: np.ndarray, p: np.ndarray, q_ids: np.ndarray, cut: bool, home: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Yields query numbers and their hits as (query, row, similarity). ``home``: the queries are this block's rows."""
+        if self.outer:
+            everything = np.arange(len(self.ids))
+            for n in np.array_split(np.arange(len(q)), -(-len(q) // 256)):
+                yield n, *self.score(q[n], q_ids[n], np.full(len(n), LEAST), everything, cut)
             return
-        sparse_q = bound <= LEAST
-        chunks: list[np.ndarray] = []
-        for part in home if home is not None else [np.flatnonzero(~sparse_q)]:
-            if home is None and len(part):  # visitors with near targets together
-                part = part[np.argsort(np.argmin(_gaps(p[part], self.lo, self.hi), axis=1), kind="stable")]
-            chunks += [part[i : i + 256] for i in range(0, len(part), 256)]
-        for n in chunks:
-            b = bound[n]
-            if home is not None:  # the own cell first
-                own = self.members[int(np.searchsorted(self.cells, self.cell[n[0]]))]
-                if len(own) > K:
-                    s = q[n].astype(np.float32) @ self.x32[own].T
-                    b = np.maximum(b, np.partition(s, len(own) - K - 1, axis=1)[:, len(own) - K - 1] - 1e-5)
-            near = (_gaps(p[n], self.lo, self.hi) < (2 - 2 * b[:, None]) * REACH).any(0)
-            pick = np.concatenate([np.zeros(0, np.int64), *[m for m, go in zip(self.members, near) if go]])
-            if len(pick):
-                yield n, *self.score(q[n], q_ids[n], b, pick, True)
-        far = np.flatnonzero(sparse_q)
-        for at in range(0, len(far), 256):
-            n = far[at : at + 256]
-            near = (_gaps(p[n], self.lo, self.hi) < (2 - 2 * bound[n, None]) * REACH).any(0)
-            pick = np.concatenate([self.sparse, *[m for m, go in zip(self.members, near) if go]])
-            if len(pick):
-                yield n, *self.score(q[n], q_ids[n], bound[n], pick, False)
+        bound = self.bounds() if home else np.full(len(q), LEAST)
+        rows, cells = self.open_cells(q, p, bound)
+        order = np.argsort(cells, kind="stable")
+        rows, first = rows[order], np.searchsorted(cells[order], np.arange(len(self.members) + 1))
+        for k, m in enumerate(self.members):
+            some = rows[first[k] : first[k + 1]]
+            for at in range(0, len(some), 1024):
+                n = some[at : at + 1024]
+                yield n, *self.score(q[n], q_ids[n], bound[n], m, cut)
 
 
 def _solve(t: pa.Table) -> pa.Table:
@@ -243,25 +262,26 @@ def _solve(t: pa.Table) -> pa.Table:
     guests = t.filter(pa.array(visit))
     owners, ids, sims = [], [], []
 
-    def take(q_ids: np.ndarray, q_sparse: np.ndarray, hits: Iterator) -> None:
+    def take(q_ids: np.ndarray, both: bool, hits: Iterator) -> None:
         for n, r, c, s in hits:
             owners.append(q_ids[n[r]])
             ids.append(block.ids[c])
             sims.append(s)
-            both = q_sparse[n[r]] & (s >= block.bound[c])
-            owners.append(block.ids[c[both]])
-            ids.append(q_ids[n[r[both]]])
-            sims.append(s[both])
-
-    if len(block.ids) and _column(t, "portion")[0].as_py() == 0:
-        take(block.ids, ~block.dense, block.search(block.x, block.p, block.ids, block.bound, block.members))
-    if guests.num_rows:
-        g_ids, g_bound, x = _column(guests, "vid").to_numpy(), _column(guests, "bound").to_numpy(), _matrix(_column(guests, "vec"))
-        take(g_ids, g_bound <= LEAST, block.search(x, x @ _DIRECTIONS, g_ids, g_bound, None))
+            if both:
+                owners.append(block.ids[c])
+                ids.append(q_ids[n[r]])
+                sims.append(s)
+
+    if len(block.ids):
+        if _column(t, "portion")[0].as_py() == 0:
+            take(block.ids, False, block.search(block.x, block.p, block.ids, True, True))
+        for inner in (True, False):  # outer visitors are entered in both lists
+            some = guests.filter(pa.array(_column(guests, "inner").to_numpy(zero_copy_only=False) == inner))
+            if some.num_rows:
+                x, q_ids = _matrix(_column(some, "vec")), _column(some, "vid").to_numpy()
+                both = not inner and not block.outer
+                take(q_ids, both, block.search(x, x @ _DIRECTIONS, q_ids, not both, False))
     pairs = [np.concatenate(x) if x else np.zeros(0, k) for x, k in ((owners, np.int64), (ids, np.int64), (sims, np.float64))]
-    if len(pairs[0]):
-        once = np.unique(np.rec.fromarrays(pairs, names="o,i,s"))
-        pairs = [once.o, once.i, once.s]
     o, i, s = _top(*pairs)
     who, first = np.unique(o, return_index=True)
     offsets = pa.array(np.append(first, len(o)).astype(np.int32))
@@ -297,24 +317,27 @@ def _lists(spark, rows: DataFrame) -> DataFrame:
     if not sample.num_rows:
         return spark.createDataFrame([], shape)
     points = _matrix(_column(sample, "vec"))
-    total = rows.count() if sample.num_rows == SAMPLE else sample.num_rows
-    log = lambda x: max(0, round(math.log2(max(1.0, x))))
-    levels = min(log(MAX_CELLS), log(total / CELL_ROWS), int(math.log2(max(1, sample.num_rows // 8))))
-    top = min(levels, log(total / GROUP_ROWS))
-    groups, group_of = 1 << top, np.arange(1 << levels) >> (levels - top)
-    tree = Tree(points @ _DIRECTIONS, levels)
-    scored = stage(rows.mapInArrow(_scorer(tree, _column(sample, "vid").to_numpy(), points), "vid long, vec array<float>, cell int, bound double"))
-    found = scored.mapInArrow(_boxer(1 << levels), "cell int, n long, lo array<double>, hi array<double>")
-    per = found.groupBy("cell").agg(F.sum("n").alias("n"), *[F.min(F.col("lo")[i]).alias(f"lo{i}") for i in range(DIMS)], *[F.max(F.col("hi")[i]).alias(f"hi{i}") for i in range(DIMS)]).orderBy("cell").toPandas()  # at most MAX_CELLS rows
-    cells, lo, hi = per["cell"].to_numpy(), per[[f"lo{i}" for i in range(DIMS)]].to_numpy(), per[[f"hi{i}" for i in range(DIMS)]].to_numpy()
-    blocks = np.maximum(1, -(-np.bincount(group_of[cells], weights=per["n"].to_numpy(), minlength=groups).astype(np.int64) // BLOCK_ROWS))
-    routed = scored.mapInArrow(_router(cells, lo, hi, group_of, groups), "grp int, visit boolean, vid long, vec array<float>, cell int, bound double")
-    if groups == 1 and blocks[0] == 1:
+    protos = points[prototypes(points)]
+    kept = rows.mapInArrow(_holder(protos), "vid long, vec array<float>, cell int, inner boolean")
+    scored = stage(kept)
+    found = scored.mapInArrow(_boxer(protos), "cell int, n long, far double, lo array<double>, hi array<double>")
+    per = found.groupBy("cell").agg(F.sum("n").alias("n"), F.max("far").alias("far"), *[F.min(F.col("lo")[i]).alias(f"lo{i}") for i in range(DIMS)], *[F.max(F.col("hi")[i]).alias(f"hi{i}") for i in range(DIMS)]).orderBy("cell").toPandas()  # at most a row a prototype
+    outer, per = int(per["n"][per["cell"] < 0].sum()), per[per["cell"] >= 0]
+    cells, weight = per["cell"].to_numpy(), per["n"].to_numpy().astype(np.float64)
+    levels = max(0, round(math.log2(max(1.0, weight.sum() / GROUP_ROWS))))
+    groups, group = 1 << levels, kd_groups(protos[cells] @ _DIRECTIONS, weight, levels) if len(cells) else np.zeros(0, np.int64)
+    group_of = np.zeros(len(protos), np.int64)
+    group_of[cells] = group
+    counts = np.append(np.bincount(group, weights=weight, minlength=groups), outer).astype(np.int64)
+    blocks, total = np.maximum(1, -(-counts // BLOCK_ROWS)), int(counts.sum())
+    route = _router(protos[cells], per["far"].to_numpy(), per[[f"lo{i}" for i in range(DIMS)]].to_numpy(), per[[f"hi{i}" for i in range(DIMS)]].to_numpy(), group, group_of, groups)
+    routed = scored.mapInArrow(route, "grp int, visit boolean, vid long, vec array<float>, cell int, inner boolean")
+    if blocks.max() == 1 and total <= PORTION:
         placed = routed.withColumns({"block": F.lit(0), "portion": F.lit(0)})
     else:
         visitors = routed.filter("visit").groupBy("grp").agg(F.count(F.lit(1)).alias("n")).collect() if total > PORTION else []  # a row a group
         portions = {r["grp"]: -(-r["n"] // PORTION) for r in visitors}
-        sizes = F.broadcast(spark.createDataFrame([(g, int(blocks[g]), int(portions.get(g, 1))) for g in range(groups)], "grp int, blocks int, portions int"))
+        sizes = F.broadcast(spark.createDataFrame([(g, int(blocks[g]), int(portions.get(g, 1))) for g in range(groups + 1)], "grp int, blocks int, portions int"))
         known = routed.join(sizes, "grp")
         own = F.pmod(F.xxhash64("vid"), F.col("blocks").cast("long")).cast("int")
         share = F.pmod(F.xxhash64("vid", F.lit(3)), F.col("portions").cast("long")).cast("int")
@@ -322,7 +345,7 @@ def _lists(spark, rows: DataFrame) -> DataFrame:
         here = F.transform(F.sequence(F.lit(0), F.col("portions") - 1), lambda p: F.struct(F.lit(False).alias("visit"), own.alias("block"), p.alias("portion")))
         there = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.lit(True).alias("visit"), b.alias("block"), share.alias("portion")))
         spots = F.when(F.col("visit"), there).otherwise(F.concat(here, F.filter(there, lambda x: x["block"] != own)))
-        placed = known.withColumn("spot", F.explode(spots)).select("grp", "spot.block", "spot.portion", "spot.visit", "vid", "vec", "cell", "bound")
+        placed = known.withColumn("spot", F.explode(spots)).select("grp", "spot.block", "spot.portion", "spot.visit", "vid", "vec", "cell", "inner")
     solved = placed.groupBy("grp", "block", "portion").applyInArrow(_solve, shape)
     entries = F.flatten(F.collect_list(F.arrays_zip("ids", "sims")))  # at most K entries a block that was visited
     ranked = F.array_sort(F.array_distinct(F.transform(entries, lambda x: F.struct((-x["sims"]).alias("s"), x["ids"].alias("i")))))
