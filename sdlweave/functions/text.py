@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def strip(text: Column) -> Column:
+    """White space of any kind removed at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def content_id(text: Column) -> Column:
     """The 32-bit UTF-16 hash of a text, absolute, in base 36. Null stays null.
 
@@ -50,12 +55,12 @@ def code_block(text: Column, language: str) -> Column:
     """The first fenced block of the language, else the first unlabelled one, else the trimmed text."""
     labelled = F.regexp_extract(text, rf"(?is)```{language}\s*\n(.*?)```", 1)
     plain = F.regexp_extract(text, r"(?s)```\s*\n(.*?)```", 1)
-    return F.coalesce(F.nullif(F.trim(labelled), F.lit("")), F.nullif(F.trim(plain), F.lit("")), F.trim(text))
+    return F.coalesce(F.nullif(strip(labelled), F.lit("")), F.nullif(strip(plain), F.lit("")), strip(text))
 
 
 def json_variables(text: Column) -> Column:
     """JSON text of the block labelled json; ``{}`` if there is none or it does not parse."""
-    block = F.nullif(F.trim(F.regexp_extract(text, r"(?is)```json\s*\n(.*?)```", 1)), F.lit(""))
+    block = F.nullif(strip(F.regexp_extract(text, r"(?is)```json\s*\n(.*?)```", 1)), F.lit(""))
     return F.when(F.try_parse_json(block).isNotNull(), block).otherwise("{}")
 
 
@@ -89,12 +94,13 @@ def score_bar(score: Column) -> Column:
 
 
 def duration(ms: Column) -> Column:
-    """``12ms``, ``3.4s`` or ``2m 5.0s``."""
-    seconds = ms / 1000
+    """``12ms``, ``3.4s`` or ``2m 5.0s``; tenths of a second, halves up."""
+    tenths = lambda x: F.floor((x + 50) / 100).cast("long")
+    shown = lambda x: F.concat(F.floor(tenths(x) / 10).cast("string"), F.lit("."), (tenths(x) % 10).cast("string"), F.lit("s"))
     return (
-        F.when(ms < 1000, F.concat(F.format_string("%.0f", ms.cast("double")), F.lit("ms")))
-        .when(ms < 60_000, F.concat(F.format_string("%.1f", seconds), F.lit("s")))
-        .otherwise(F.format_string("%dm %.1fs", F.floor(seconds / 60).cast("long"), seconds - F.floor(seconds / 60) * 60))
+        F.when(ms < 1000, F.concat(F.floor(ms + F.lit(0.5)).cast("string"), F.lit("ms")))
+        .when(ms < 60_000, shown(ms))
+        .otherwise(F.concat(F.floor(ms / 60_000).cast("string"), F.lit("m "), shown(ms % 60_000)))
     )
 
 

@@ -67,9 +67,9 @@ def merge_messages(messages: Iterable[Message], greeting: str = "Hello", filler:
 #: Fixed values of four services: path, default model, and whether the system text is a field of its own.
 SERVICES = {
     "ollama": {"url": "http://localhost:11434", "path": "/api/chat", "model": "qwen2.5"},
-    "ollama_cloud": {"url": "https://ollama.com", "path": "/api/chat", "model": "qwen3-coder:480b"},
+    "ollama_cloud": {"url": "https://ollama.com", "path": "/api/chat", "model": "qwen2.5"},
     "openai": {"url": "https://api.openai.com", "path": "/v1/chat/completions", "model": "gpt-4o-mini"},
-    "anthropic": {"url": "https://api.anthropic.com", "path": "/v1/messages", "model": "claude-sonnet-4-20250514"},
+    "anthropic": {"url": "https://api.anthropic.com", "path": "/v1/messages", "model": "claude-3-haiku-20240307"},
 }
 
 

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from sdlweave.functions.text import table_name
 
@@ -81,16 +82,13 @@ def place_errors(errors: DataFrame, subgraphs: DataFrame, keep: str = "run_id")
     all_pairs = errors.join(subs)  # errors against the few subgraphs of one design
     node = F.get(F.filter("nodes", lambda x: F.lower(x["subgraph"]) == F.lower(n)), 0)
     first = F.lower(F.get("nodes", 0)["subgraph"]) == F.lower(n)
-    w = F.struct
     scored = all_pairs.withColumns({"mentioned": F.coalesce(mentions, F.lit(False)), "first_node": F.coalesce(first, F.lit(False)), "node": node})
-    from pyspark.sql.window import Window
-
     per = Window.partitionBy(keep, "error_no")
     scored = scored.withColumn("n_mentioned", F.sum(F.col("mentioned").cast("int")).over(per))
     rank = F.row_number().over(per.orderBy(F.desc("first_node"), F.desc("mentioned"), "subgraph_pos"))
     kept = scored.withColumn("rank", rank).filter(((F.col("n_mentioned") > 1) & F.col("mentioned")) | ((F.col("n_mentioned") <= 1) & (F.col("rank") == 1)))
     text = F.when(F.col("n_mentioned") > 1, F.concat(F.lit("["), n, F.lit("] "), F.col("message"))).otherwise(F.col("message"))
-    zero = lambda c: F.greatest(F.col(c) - 1, F.lit(0))
+    zero = lambda c: F.when(F.col(c).isNotNull(), F.greatest(F.col(c) - 1, F.lit(0)))
     return kept.select(keep, "error_no", n, F.col("schema_path").alias("file"), text.alias("message"), zero("node.start.line").alias("line"), F.col("node.start.column").alias("column"), zero("node.end.line").alias("end_line"), F.col("node.end.column").alias("end_column"))
 
 
