@@ -14,7 +14,7 @@ from sdlweave.functions.text import is_schema_text
 
 def sdl_files(spark: SparkSession, path: str, glob: str = "*.graphql*", recursive: bool = True) -> DataFrame:
     """``path, sdl`` of schema files (``.graphql``, ``.graphqls``); blank ones and dependency folders are left out."""
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).text(path)
+    raw = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).text(path, wholetext=True)
     found = raw.select(F.input_file_name().alias("path"), F.col("value").alias("sdl"))
     return found.filter((F.trim("sdl") != "") & ~F.col("path").contains("/node_modules/"))
 

@@ -28,7 +28,7 @@ def sliding(events: DataFrame, size: str = "1 hour", slide: str = "30 minutes",
 
 def watch(spark: SparkSession, folder: str, handle: Callable[[DataFrame, int], None], checkpoint: str, glob: str = "*.graphql"):
     """A file stream of whole schema texts; each micro-batch keeps the latest text of a path."""
-    files = spark.readStream.option("wholetext", True).option("pathGlobFilter", glob).text(folder)
+    files = spark.readStream.option("pathGlobFilter", glob).text(folder, wholetext=True)
     changes = files.select(F.input_file_name().alias("path"), F.col("value").alias("sdl"), F.col("_metadata.file_modification_time").alias("changed_at"))
 
     def batch(df: DataFrame, epoch: int) -> None:
