@@ -50,6 +50,8 @@ EXTREME = 0.7
 GREATER_PART, LEAST_CHARS = 0.5, 80
 #: The usual ratio of a length is this quantile of the corpus' prose blocks: spam can't move it while it is under three quarters.
 USUAL, LEAST_PROSE = 0.75, 32
+#: A language with fewer documents takes the ratio of all.
+LEAST_DOCS = 100
 LANGUAGES = ("en", "de", "fr", "es", "ja")
 
 
@@ -176,9 +178,11 @@ def spam(docs: DataFrame) -> DataFrame:
     p = profiles(docs)
     prose = p.filter(F.col("prose") >= LEAST_PROSE)
     by_length = {r["k"]: r["q"] for r in prose.groupBy(F.floor(F.log2("prose")).cast("int").alias("k")).agg(F.percentile_approx("prose_ratio", USUAL).alias("q")).collect()}  # a row a power of two
-    by_lang = {r["lang"]: r["m"] for r in prose.groupBy("lang").agg(F.percentile_approx(F.col("prose_ratio") / _usual(by_length, F.col("prose")), 0.5).alias("m")).collect()}  # a row a language
-    centre = by_lang.get("en", 1.0)
-    factor = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, m in by_lang.items() for x in (k, m / centre)]), F.col("lang")), F.lit(1.0)) if by_lang else F.lit(1.0)
+    off = F.col("prose_ratio") / _usual(by_length, F.col("prose"))
+    by_lang = {r["lang"]: (r["m"], r["n"]) for r in prose.rollup("lang").agg(F.percentile_approx(off, 0.5).alias("m"), F.count(F.lit(1)).alias("n")).collect()}  # a row a language, and one for all
+    centre = by_lang.get(None, (1.0, 0))[0] or 1.0
+    factors = {k: m / centre for k, (m, n) in by_lang.items() if k is not None and n >= LEAST_DOCS}
+    factor = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in factors.items() for x in kv]), F.col("lang")), F.lit(1.0)) if factors else F.lit(1.0)
     redundancy = F.when(F.col("block") > 0, F.col("ratio") / (_usual(by_length, F.col("block")) * factor))
     confirmed = F.when((redundancy <= EXTREME) & (F.col("block") >= LEAST_CHARS), F.col("phrase")).otherwise(0)
     found = F.col("link") + F.col("tag") + confirmed
