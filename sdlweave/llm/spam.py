@@ -26,7 +26,7 @@ _ZERO = re.compile("[\u200b-\u200f\u2060\ufeff\u00ad]")
 _SPACES = re.compile("[\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]")
 _DOTTED = re.compile(r"(?<![\w.])\w(?:\.\w)+(?![\w.])")
 _LEET = str.maketrans("013457@$", "oieastas")
-_MIXED = re.compile(r"(?<![\w./-])(?=[a-zA-Z0-9@$]*[a-zA-Z])(?=[a-zA-Z]*[013457@$])[a-zA-Z013457@$]{2,}(?![\w./-])")
+_MIXED = re.compile(r"(?<![\w./@$-])(?:[a-zA-Z]+[013457@$]|[013457@$]+[a-zA-Z])[a-zA-Z013457@$]*(?![\w./@$-])")
 _HEADER = re.compile(r"(?:commit [0-9a-f]{7,}|From [0-9a-f]{40} |Author: |AuthorDate: |Commit: |CommitDate: |Date: |From: |Merge: |Subject: |by \S+ in \S+/\S+\s*$|(?:Co-authored|Signed-off|Reviewed)-by: )")
 _FILE = re.compile(r"(?:diff --git |index [0-9a-f]+\.\.|--- (?:a/|/dev/null)|\+\+\+ (?:b/|/dev/null)|(?:new|deleted) file mode |old mode |new mode |similarity index |rename |copy |Binary files |GIT binary patch)")
 #: Endings by which a name without scheme counts as a host; short ones only with a path. Fixed values.
@@ -39,7 +39,13 @@ _LABEL = re.compile(r"^\s*(?:tags?|keywords?|labels?|schlagw\w+|mots[- ]cl\w+|et
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[^\W\d_]{2,}[\"')\]]*[.!?。！？](?=\s|$|[\"')\]])|[。！？]")
 _CODE = re.compile(r"""[{}();=<>\\`$@^*_\[\]]|[\w"'\])]:\s|\w:$|::|->|=>|//|^\s*(?:\#|--)\s""")
+#: Signs of code that no later step removes, and the stops without which nothing is a sentence.
+_HARD = re.compile(r"[{}()=\\`$@^*_]")
+_STOPS = re.compile("[.!?。！？]")
 _DECOR = re.compile(r"(?:!{2,}|>{2,}|→|[★✔💯🔥☆✓•·|/,;~–—-])+")
+_BULLET = re.compile(r"^\s*(?:[-*+•]|\d+[.)])\s+")
+_KEYED = re.compile(r"^\s*[\w-]+[\s:=]+[\"']")
+_COUNT = re.compile(r"\d+ file")
 _STAMP = re.compile(r"\d{4}-\d\d-\d\d|\d\d:\d\d")
 
 #: Most words of anchor text beside a link, share of a line's characters in tags, least words of a phrase line.
@@ -57,7 +63,8 @@ LANGUAGES = ("en", "de", "fr", "es", "ja")
 
 def plain(text: str) -> str:
     """The text with disguises undone."""
-    text = _SPACES.sub(" ", _ZERO.sub("", text))
+    if not text.isascii():
+        text = _SPACES.sub(" ", _ZERO.sub("", text))
     text = _DOTTED.sub(lambda m: m.group().replace(".", ""), text)
     return _MIXED.sub(lambda m: m.group().translate(_LEET), text)
 
@@ -76,7 +83,7 @@ def body(text: str) -> list[tuple[str, bool]]:
         else:
             s = line.strip()
             mail = mail or s.startswith("Subject: ")
-            if not s or s in ("---", "--") or _HEADER.match(s) or re.match(r"\d+ file", s):
+            if not s or s in ("---", "--") or _HEADER.match(s) or _COUNT.match(s):
                 subject = subject or mail
             elif not subject:  # the first line that is no header
                 subject = True
@@ -90,22 +97,26 @@ def kind(line: str) -> tuple[str, str]:
     s = line.strip()
     if not s:
         return "none", ""
-    meta = _META.search(s)
+    has_dot, marked = "." in s, "<" in s or "[" in s or "&" in s
+    meta = _META.search(s) if "<" in s else None
     if meta:
         s = meta.group(1)
-    label = _LABEL.match(s)
+        has_dot, marked = "." in s, "<" in s or "[" in s or "&" in s
+    label = _LABEL.match(s) if ":" in s or "：" in s else None
     if label:
         s = s[label.end() :]
-    tags = _TAG.findall(s)
+    tags = _TAG.findall(s) if "#" in s else None
     if tags and sum(map(len, tags)) >= TAG_SHARE * len(s.replace(" ", "")):
         return "tag", " ".join(tags)
-    links = _URL.findall(s)
+    links = _URL.findall(s) if has_dot else None
+    if not links and not marked and _HARD.search(s):  # most lines of a change end here
+        return ("sentence" if _STOPS.search(s) and _SENTENCE.search(s) or _STAMP.search(s) else "code"), ""
     bare = _MARKUP.sub(" ", _URL.sub(" ", s) if links else s)
-    bare = _DECOR.sub(" ", re.sub(r"^\s*(?:[-*+•]|\d+[.)])\s+", "", bare))
+    bare = _DECOR.sub(" ", _BULLET.sub("", bare))
     words = _WORD.findall(bare)
-    if _SENTENCE.search(bare) or _STAMP.search(bare):
+    if _STOPS.search(bare) and _SENTENCE.search(bare) or _STAMP.search(bare):
         return "sentence", ""
-    if links and not re.match(r"^\s*[\w-]+[\s:=]+[\"']", s):
+    if links and not _KEYED.match(s):
         covered = sum(map(len, links))
         if len(words) <= ANCHOR_WORDS and covered * 2 >= len(re.sub(r"\s", "", bare)):
             return "link", " ".join(words)
