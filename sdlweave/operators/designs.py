@@ -71,25 +71,27 @@ def build_errors(outputs: DataFrame, output: str = "output", keep: str = "run_id
 def place_errors(errors: DataFrame, subgraphs: DataFrame, keep: str = "run_id") -> DataFrame:
     """``keep, error_no, subgraph_name, file, message, line, column, end_line, end_column`` (lines from 0).
 
-    An error that mentions several subgraphs gives a row for each, with the name before the message; otherwise its
-    first node's subgraph (whatever the case) places it, else the one it mentions, else the first. ``subgraphs`` has
-    ``subgraph_pos, subgraph_name, schema_path`` of one design and is small; it is the broadcast side.
+    An error that mentions several subgraphs (``"name"``, ``[name]`` or ``─[ name:``) gives a row for each, with the
+    name before the message; otherwise its first node's subgraph (whatever the case) places it, else the one it
+    mentions, else the first. ``subgraphs`` has ``subgraph_pos, subgraph_name, schema_path`` of one design.
     """
-    subs = F.broadcast(subgraphs.select("subgraph_pos", "subgraph_name", "schema_path").limit(10_000))
-    n = F.col("subgraph_name")
-    quoted = F.concat(F.lit('"'), n, F.lit('"'))
-    mentions = F.col("message").contains(quoted) | F.col("message").contains(F.concat(F.lit("["), n, F.lit("]"))) | F.col("message").contains(F.concat(F.lit("─["), F.lit(" "), n, F.lit(":")))
-    all_pairs = errors.join(subs)  # errors against the few subgraphs of one design
-    node = F.get(F.filter("nodes", lambda x: F.lower(x["subgraph"]) == F.lower(n)), 0)
-    first = F.lower(F.get("nodes", 0)["subgraph"]) == F.lower(n)
-    scored = all_pairs.withColumns({"mentioned": F.coalesce(mentions, F.lit(False)), "first_node": F.coalesce(first, F.lit(False)), "node": node})
-    per = Window.partitionBy(keep, "error_no")
-    scored = scored.withColumn("n_mentioned", F.sum(F.col("mentioned").cast("int")).over(per))
-    rank = F.row_number().over(per.orderBy(F.desc("first_node"), F.desc("mentioned"), "subgraph_pos"))
-    kept = scored.withColumn("rank", rank).filter(((F.col("n_mentioned") > 1) & F.col("mentioned")) | ((F.col("n_mentioned") <= 1) & (F.col("rank") == 1)))
-    text = F.when(F.col("n_mentioned") > 1, F.concat(F.lit("["), n, F.lit("] "), F.col("message"))).otherwise(F.col("message"))
+    errors = errors.withColumn("nodes", F.coalesce("nodes", F.array().cast(errors.schema["nodes"].dataType)))
+    subs = subgraphs.select("subgraph_pos", "subgraph_name", "schema_path")
+    lower = lambda c: F.lower(F.col(c))
+    said = F.array_distinct(F.concat(*[F.regexp_extract_all("message", F.lit(p), F.lit(1)) for p in (r'"([^"]+)"', r"\[([^\[\]]+)\]", r"─\[ ([^:\]]+):")]))
+    key = [keep, "error_no"]
+    mentioned = errors.select(*key, F.explode(said).alias("subgraph_name")).join(subs, "subgraph_name")
+    counted = mentioned.groupBy(*key).agg(F.count(F.lit(1)).alias("n_mentioned"))
+    node = errors.select(*key, F.lower(F.get("nodes", 0)["subgraph"]).alias("low")).join(subs.withColumn("low", lower("subgraph_name")), "low").drop("low")
+    first = subs.orderBy("subgraph_pos").limit(1)  # the design's first subgraph
+    options = mentioned.select(*key, "subgraph_pos", "subgraph_name", "schema_path", F.lit(1).alias("rank")).unionByName(node.select(*key, "subgraph_pos", "subgraph_name", "schema_path", F.lit(0).alias("rank"))).unionByName(errors.select(*key).join(F.broadcast(first)).select(*key, "subgraph_pos", "subgraph_name", "schema_path", F.lit(2).alias("rank")))
+    best = F.row_number().over(Window.partitionBy(*key).orderBy("rank", "subgraph_pos"))
+    ranked = options.join(counted, key, "left").withColumn("several", F.coalesce("n_mentioned", F.lit(0)) > 1).withColumn("best", best)
+    kept = ranked.filter((F.col("several") & (F.col("rank") == 1)) | (~F.col("several") & (F.col("best") == 1))).join(errors, key)
+    place = F.get(F.filter("nodes", lambda x: F.lower(x["subgraph"]) == F.lower(F.col("subgraph_name"))), 0)
+    text = F.when(F.col("several"), F.concat(F.lit("["), "subgraph_name", F.lit("] "), "message")).otherwise(F.col("message"))
     zero = lambda c: F.when(F.col(c).isNotNull(), F.greatest(F.col(c) - 1, F.lit(0)))
-    return kept.select(keep, "error_no", n, F.col("schema_path").alias("file"), text.alias("message"), zero("node.start.line").alias("line"), F.col("node.start.column").alias("column"), zero("node.end.line").alias("end_line"), F.col("node.end.column").alias("end_column"))
+    return kept.withColumn("node", place).select(*key, "subgraph_name", F.col("schema_path").alias("file"), text.alias("message"), zero("node.start.line").alias("line"), F.col("node.start.column").alias("column"), zero("node.end.line").alias("end_line"), F.col("node.end.column").alias("end_column"))
 
 
 def locate(sdl: str, target: str) -> dict | None:

@@ -34,7 +34,8 @@ def references(docs: DataFrame, builtin: DataFrame) -> DataFrame:
     raw = F.filter(F.concat(one("fieldType"), one("parentType"), many), lambda x: x["v"].isNotNull())
     clean = F.array_distinct(F.transform(raw, lambda x: F.struct(x["f"].alias("ref_field"), base_type(x["v"]).alias("ref_name"))))
     refs = docs.select("row_id", "collection", "loaded_at", F.inline(clean)).filter(F.col("ref_name") != "")
-    return refs.join(F.broadcast(builtin.select(F.col("name").alias("ref_name")).distinct().limit(10_000)), "ref_name", "left_anti").select("row_id", "collection", "loaded_at", "ref_field", "ref_name")  # the fixed list of built-in names
+    # the table of built-in names is fixed and small; the planner broadcasts it by its size
+    return refs.join(builtin.select(F.col("name").alias("ref_name")), "ref_name", "left_anti").select("row_id", "collection", "loaded_at", "ref_field", "ref_name")
 
 
 def key_dictionary(docs: DataFrame, refs: DataFrame, removals: DataFrame) -> DataFrame:

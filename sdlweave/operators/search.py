@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,15 +58,20 @@ def ladder(results: DataFrame, start: float = MIN_SIMILARITY, step: float = STEP
     return results.join(F.broadcast(best.select(F.array_max(tried).alias("threshold"))), F.col("score") >= F.col("threshold"))
 
 
-def batch_top_k(df: DataFrame, queries: DataFrame, k: int = DEFAULT_LIMIT, key: str = "id", query_key: str = "query_id", vector: str = "embedding", query: str = "query", most: int = 10_000) -> DataFrame:
+def batch_top_k(df: DataFrame, queries: DataFrame, k: int = DEFAULT_LIMIT, key: str = "id", query_key: str = "query_id", vector: str = "embedding", query: str = "query", block: int = 10_000) -> DataFrame:
     """``query_key, key, score, rank`` of a stated set of queries against all rows.
 
-    ``most`` bounds the query set; it is what is broadcast. A per-task rank limit precedes the shuffle.
+    The queries are counted and broadcast in blocks of about ``block``; a per-task rank limit precedes the shuffle.
     """
-    few = F.broadcast(queries.select(F.col(query_key), F.col(query)).limit(most))
-    pairs = df.select(key, vector).join(few).select(query_key, key, cosine(F.col(vector), F.col(query)).alias("score")).filter(F.col("score").isNotNull())
+    stated = queries.select(F.col(query_key), F.col(query))
+    blocks = max(1, -(-stated.count() // block))
+    parts = [stated if blocks == 1 else stated.filter(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == b) for b in range(blocks)]
     order = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
-    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    out = []
+    for part in parts:
+        pairs = df.select(key, vector).join(F.broadcast(part)).select(query_key, key, cosine(F.col(vector), F.col(query)).alias("score")).filter(F.col("score").isNotNull())
+        out.append(pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k))
+    return reduce(DataFrame.unionByName, out)
 
 
 def lookup(df: DataFrame, metadata: Iterable[MetadataFilter] = (), columns: Iterable[ColumnFilter] = (), order: Sequence[str] = ("ordinal",), limit: int | None = None) -> DataFrame:

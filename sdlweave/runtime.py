@@ -36,6 +36,18 @@ def session(app: str = "sdlweave", cores: str = "*", partitions: int = 8) -> Spa
     return spark
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers that see this file system import the package, wherever they were started.
+
+    On a cluster without it the package comes by ``--py-files`` or is installed.
+    """
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if home not in known:
+        env["PYTHONPATH"] = os.pathsep.join([home, *known])
+
+
 _own_folder: list[str] = []
 
 

@@ -103,15 +103,14 @@ def test_hierarchy_solver(links):
     rows = H.solve(names, links)
     assert {(r[0], r[1], r[2], r[3]) for r in rows} == brute_hierarchy(set(names), {(names[a], names[b]) for a, b in links})
     at = {r[0]: r for r in rows}
-    for name, root, depth, _, parent, path, chain, pos, size in rows:
+    for name, root, depth, _, parent, steps, chain, pos, size in rows:
         if depth < 0:
-            assert (root, parent, path, chain, pos, size) == ("", None, None, -1, -1, 0)
+            assert (root, parent, steps, chain, pos, size) == ("", None, None, None, -1, 0)
             continue
-        steps = path.split("/")
         assert steps[0] == root and steps[-1] == name and len(steps) == depth + 1
         assert (steps[-2] if depth else None) == parent
-        inside = {r[0] for r in rows if r[2] >= 0 and pos <= r[7] < pos + size}
-        assert inside == {r[0] for r in rows if r[5] is not None and (r[5] + "/").startswith(path + "/")}
+        inside = {r[0] for r in rows if r[1] == root and pos <= r[7] < pos + size}
+        assert inside == {r[0] for r in rows if r[5] is not None and r[5][: depth + 1] == steps}
         if depth and at[parent][6] != chain:  # a light child's subtree is at most half
             assert 2 * size <= at[parent][8]
 
