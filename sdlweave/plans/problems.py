@@ -28,7 +28,13 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_paths(spark: SparkSession, d: str) -> DataFrame:
-    return H.hierarchy(table(spark, d, "embedding_documents"))
+    tree = H.hierarchy(table(spark, d, "embedding_documents")).filter("depth >= 0")
+    return tree.select("collection", "type_name", "root_name", "depth", "parent_name", "path", F.col("subtree_size").cast("long").alias("subtree_size"))
+
+
+def p6_chains(spark: SparkSession, d: str) -> DataFrame:
+    """The heavy-path labels: nodes of a chain have neighbouring positions, a subtree is an interval of them."""
+    return H.hierarchy(table(spark, d, "embedding_documents")).select("collection", "type_name", "root_name", "chain", "pos", "subtree_size")
 
 
 def p6_descendants(spark: SparkSession, d: str) -> DataFrame:
@@ -108,9 +114,41 @@ reach as (
 cyc as (select distinct collection, a as v from reach where a = b)
 """
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_batches, p3_subgraphs, p3_documents, p3_struct_items, p5_found, p5_report, p6_found, p6_paths, p6_descendants)}
+def _list(x: str) -> str:
+    """SQL of a JSON value as a list: nothing for null, itself for a list, else a list of one."""
+    return f"case when {x} is null or json_type({x}) = 'NULL' then [] when json_type({x}) = 'ARRAY' then json_extract({x}, '$[*]') else [{x}] end"
+
+
+_JSON = f"""
+top as (select batch_id, payload::json as j from raw_batches where json_valid(payload) and json_type(payload::json) = 'OBJECT'),
+subs as (select batch_id, unnest(l) as s, generate_subscripts(l, 1) - 1 as subgraph_pos from (select batch_id, {_list("(j->'$.design.subgraphs')")} as l from top)),
+docs as (select batch_id, subgraph_pos, unnest(l) as d, generate_subscripts(l, 1) - 1 as doc_pos from (select batch_id, subgraph_pos, {_list("(s->'$.documents')")} as l from subs)),
+meta as (select batch_id, subgraph_pos, doc_pos, d, case when json_type(m) = 'VARCHAR' then case when json_valid(m->>'$') then (m->>'$')::json end else m end as m from (select *, d->'$.metadata' as m from docs)),
+items as ({" union all ".join(f"select batch_id, subgraph_pos, doc_pos, '{n}' as list_name, unnest(l) as x, generate_subscripts(l, 1) - 1 as item_pos from (select *, {_list(f'(m->' + repr(f'$.{n}') + ')')} as l from meta)" for n in N.ITEM_LISTS)})"""
+
+_TREE = f"""{_GRAPH},
+par as (
+  select e.collection, e.b as v, min(e.a) as parent from e
+  join dep x on x.collection = e.collection and x.v = e.a join dep y on y.collection = e.collection and y.v = e.b and y.d = x.d + 1
+  join best p on p.collection = e.collection and p.v = e.a join best q on q.collection = e.collection and q.v = e.b and q.root = p.root group by all),
+pth as (
+  select collection, v, v as path, null::varchar as parent from roots
+  union all select par.collection, par.v, path || '/' || par.v, par.parent from pth join par on par.collection = pth.collection and par.parent = pth.v),
+anc as (
+  select collection, parent as a, v, 1 as dist from par
+  union all select anc.collection, par.parent, anc.v, dist + 1 from anc join par on par.collection = anc.collection and par.v = anc.a)"""
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_batches, p3_subgraphs, p3_documents, p3_struct_items, p5_found, p5_report, p6_found, p6_paths, p6_chains, p6_descendants)}
 
 SQL = {
+    "p3_found": f"""with {_JSON}
+select batch_id, subgraph_pos::integer as subgraph_pos, doc_pos::integer as doc_pos, list_name, item_pos::integer as item_pos,
+  case when json_type(x) = 'OBJECT' then coalesce(x->>'$.name', '') else x->>'$' end as item
+from items where json_type(x) <> 'NULL'""",
+    "p3_batches": f"with {_JSON} select batch_id, j->>'$.collection' as collection, j->>'$.design.config_path' as config_path, j->>'$.design.federation_version' as federation_version from top",
+    "p3_subgraphs": f"with {_JSON} select batch_id, subgraph_pos::integer as subgraph_pos, s->>'$.name' as name, s->>'$.routing_url' as routing_url from subs where json_type(s) = 'OBJECT'",
+    "p3_documents": f"""with {_JSON} select batch_id, subgraph_pos::integer as subgraph_pos, doc_pos::integer as doc_pos, d->>'$.id' as id, d->>'$.type' as type, d->>'$.name' as name, d->>'$.description' as description,
+  m->>'$.parentType' as parent_type, m->>'$.fieldType' as field_type, m->>'$.kind' as kind from meta where json_type(d) = 'OBJECT'""",
     "p3_struct_items": """
 select row_id, list_name, cast(i - 1 as integer) as item_pos, item from (
   select row_id, 'arguments' as list_name, generate_subscripts(l, 1) as i, unnest(list_transform(l, lambda x: case when x is not null then coalesce(x.name, '') end)) as item from (select row_id, metadata.arguments as l from embedding_documents)
@@ -124,4 +162,9 @@ where item is not null""",
     "p6_found": f"""with recursive {_GRAPH}
 select n.collection, n.v as type_name, coalesce(best.root, '') as root_name, cast(coalesce(dep.d, -1) as integer) as depth, cast(case when cyc.v is null then 0 else 1 end as integer) as on_cycle
 from nodes n left join dep on dep.collection = n.collection and dep.v = n.v left join best on best.collection = n.collection and best.v = n.v left join cyc on cyc.collection = n.collection and cyc.v = n.v""",
+    "p6_paths": f"""with recursive {_TREE}
+select pth.collection, pth.v as type_name, best.root as root_name, cast(dep.d as integer) as depth, pth.parent as parent_name, pth.path,
+  1 + (select count(*) from anc where anc.collection = pth.collection and anc.a = pth.v) as subtree_size
+from pth join dep on dep.collection = pth.collection and dep.v = pth.v join best on best.collection = pth.collection and best.v = pth.v""",
+    "p6_descendants": f"with recursive {_TREE} select collection, a as type_name, v as descendant, cast(dist as integer) as distance from anc",
 }
