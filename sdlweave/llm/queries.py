@@ -62,7 +62,18 @@ _TOP = f"""{_USABLE},
 s as (select a.i as q, b.i as o, round(list_cosine_similarity(a.e, b.e), 9) as sim from v a join v b on a.i <> b.i),
 n as (select q, o, sim from s where sim >= 0.85 qualify row_number() over (partition by q order by sim desc, o) <= 10)"""
 
+_SETS = """s as (
+  select row_id, list_sort(list_distinct(list_transform(regexp_extract_all(content, '[A-Za-z0-9_]+'), lambda w: lower(w)))) as w
+  from embedding_documents where type in ('object', 'interface', 'input', 'enum')),
+t as (select row_id, w, len(w) as n, min(row_id) over (partition by w) as class_id from s where len(w) >= 12),
+c as (select distinct class_id, w, n from t),
+p as (select a.class_id as x, b.class_id as y, a.n + b.n as n, len(list_intersect(a.w, b.w)) as k from c a join c b on a.class_id <> b.class_id and a.n * 5 >= b.n * 4 and b.n * 5 >= a.n * 4),
+l as (select x, y from p where k * 5 >= (n - k) * 4),
+r as (select x, y from l union select r.x, l.y from r join l on r.y = l.x)"""
+
 SQL = {
+    "p1_groups": f"""with recursive {_SETS}
+select t.row_id, t.class_id, least(t.class_id, coalesce((select min(y) from r where r.x = t.class_id), t.class_id)) as group_id, (select count(*) from l where l.x = t.class_id) as n_links from t""",
     "p1_found": """
 with s as (
   select row_id, list_distinct(list_transform(regexp_extract_all(content, '[A-Za-z0-9_]+'), lambda w: lower(w))) as w
