@@ -10,6 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of one key from which a key counts as hot, and the most keys that are salted. A key
 #: below the cut holds at most 1/MAX_HOT_KEYS of all rows, so no cap on results follows from it.
@@ -49,6 +50,7 @@ def importable(spark: SparkSession) -> None:
 
 
 _own_folder: list[str] = []
+_staged: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -71,6 +73,7 @@ def stage(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+    _staged.append(path)
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -78,6 +81,13 @@ def stage(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(spark: SparkSession) -> None:
+    """Delete what this process staged; call it when no result that reads it is needed any more."""
+    while _staged:
+        p = spark._jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -98,7 +108,9 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "i
     if hot is None:
         hot = hot_keys(big, keys)
     marked = F.broadcast(hot.withColumn("_hot", F.lit(True)))  # at most MAX_HOT_KEYS rows
-    b = big.join(marked, keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.floor(F.rand(7) * salts).cast("int")).otherwise(0)).drop("_hot")
+    # a salt from the row itself stays the same when a lost task runs again
+    spread = [f.name for f in big.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    b = big.join(marked, keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).otherwise(0)).drop("_hot")
     s = small.join(marked, keys, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
     return b.join(s, [*keys, "_salt"], how).drop("_salt")
 
