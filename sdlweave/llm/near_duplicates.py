@@ -123,10 +123,10 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def word_sets(docs: DataFrame) -> DataFrame:
     """``row_id, words, h1, h2`` of the rows considered; ``words`` are sorted 64-bit hashes.
 
-    Rows with null content or too few words take no part.
+    Rows with null key or content or too few words take no part.
     """
     hashed = F.transform(F.regexp_extract_all("content", F.lit("[A-Za-z0-9_]+"), F.lit(0)), lambda w: F.xxhash64(F.lower(w)))
-    sets = docs.filter(F.col("type").isin(*TYPES)).select("row_id", F.array_sort(F.array_distinct(hashed)).alias("words")).filter(F.size("words") >= MIN_WORDS)
+    sets = docs.filter(F.col("type").isin(*TYPES) & F.col("row_id").isNotNull()).select("row_id", F.array_sort(F.array_distinct(hashed)).alias("words")).filter(F.size("words") >= MIN_WORDS)
     return sets.select("row_id", "words", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"))
 
 

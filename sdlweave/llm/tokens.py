@@ -128,12 +128,12 @@ def _whole(count: bool, path: str):
 def _cut(chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for key, row, text in zip(*(b.column(c).to_pylist() for c in range(3))):
                 places = cuts(text, chunk)
                 for n, (start, end) in enumerate(places):
                     head = places[n - 1][1] - start if n else 0
                     tail = places[n + 1][0] - start if n + 1 < len(places) else end - start
-                    yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([n], pa.int32()), pa.array([head], pa.int32()), pa.array([tail], pa.int32()), pa.array([text[start:end]], pa.string())], names=["doc_id", "chunk_no", "head", "tail", "text"])
+                    yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([row], pa.int64()), pa.array([n], pa.int32()), pa.array([head], pa.int32()), pa.array([tail], pa.int32()), pa.array([text[start:end]], pa.string())], names=["doc_id", "row", "chunk_no", "head", "tail", "text"])
 
     return run
 
@@ -142,10 +142,10 @@ def _encode_chunks(count: bool, path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                key, n, head, tail, text = (b.column(c)[i].as_py() for c in range(5))
+                key, row, n, head, tail, text = (b.column(c)[i].as_py() for c in range(6))
                 marks, counts, meet, ids = encode_chunk(text, head, tail, path)
                 last = pa.array([len(ids)], pa.int32()) if count else pa.array([ids], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([n], pa.int32()), pa.array([marks], pa.list_(pa.int32())), pa.array([counts], pa.list_(pa.int32())), pa.array([meet], pa.int32()), last], names=["doc_id", "chunk_no", "marks", "counts", "meet", "out"])
+                yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([row], pa.int64()), pa.array([n], pa.int32()), pa.array([marks], pa.list_(pa.int32())), pa.array([counts], pa.list_(pa.int32())), pa.array([meet], pa.int32()), last], names=["doc_id", "row", "chunk_no", "marks", "counts", "meet", "out"])
 
     return run
 
@@ -154,16 +154,19 @@ def _encoded(docs: DataFrame, count: bool, key: str, text: str, path: str, chunk
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     out, kind = ("n", "int") if count else ("ids", "array<int>")
     short = rows.filter(F.col("text").isNull() | (F.length("text") <= chunk)).mapInArrow(_whole(count, path), f"doc_id long, {out} {kind}")
-    long = rows.filter(F.length("text") > chunk).mapInArrow(_cut(chunk), "doc_id long, chunk_no int, head int, tail int, text string").repartition("doc_id", "chunk_no")
-    parts = long.mapInArrow(_encode_chunks(count, path), f"doc_id long, chunk_no int, marks array<int>, counts array<int>, meet int, out {kind}")
-    before = F.lag("meet").over(Window.partitionBy("doc_id").orderBy("chunk_no"))
+    # a number of their own keeps the chunks of rows with equal or null keys apart
+    cut = rows.filter(F.length("text") > chunk).select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
+    long = cut.mapInArrow(_cut(chunk), "doc_id long, row long, chunk_no int, head int, tail int, text string").repartition("row", "chunk_no")
+    parts = long.mapInArrow(_encode_chunks(count, path), f"doc_id long, row long, chunk_no int, marks array<int>, counts array<int>, meet int, out {kind}")
+    before = F.lag("meet").over(Window.partitionBy("row").orderBy("chunk_no"))
     drop = F.coalesce(F.element_at("counts", F.array_position("marks", F.col("before")).cast("int")), F.lit(0))
-    cut = parts.withColumn("before", before).withColumn("drop", F.when(F.col("before").isNull(), 0).otherwise(drop))
+    met = parts.withColumn("before", before).withColumn("drop", F.when(F.col("before").isNull() | (F.col("before") == 0), 0).otherwise(drop))
     if count:
-        stitched = cut.groupBy("doc_id").agg(F.sum(F.col("out") - F.col("drop")).cast("int").alias(out))
+        stitched = met.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sum(F.col("out") - F.col("drop")).cast("int").alias(out)).drop("row")
     else:
-        kept = cut.select("doc_id", "chunk_no", F.expr("slice(out, drop + 1, size(out))").alias("out"))
-        stitched = kept.groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "out"))), lambda x: x["out"])).alias(out))
+        kept = met.select("doc_id", "row", "chunk_no", F.expr("slice(out, drop + 1, size(out))").alias("out"))
+        ordered = F.array_sort(F.collect_list(F.struct("chunk_no", "out")))  # one text
+        stitched = kept.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.flatten(F.transform(ordered, lambda x: x["out"])).alias(out)).drop("row")
     return short.unionByName(stitched)
 
 

@@ -59,10 +59,10 @@ _DIRECTIONS = np.random.default_rng(2718).standard_normal((WIDTH, DIMS))
 
 
 def usable(vectors: DataFrame, key: str = "stored_id", vector: str = "embedding") -> DataFrame:
-    """``vid, vec`` of the rows whose vector has WIDTH finite values that are not all zero."""
+    """``vid, vec`` of the rows with a key whose vector has WIDTH finite values that are not all zero."""
     v = F.col(vector)
     ok = (F.size(v) == WIDTH) & F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.exists(v, lambda x: x != 0)
-    return vectors.select(F.col(key).alias("vid"), v.alias("vec")).filter(ok)
+    return vectors.select(F.col(key).cast("long").alias("vid"), v.alias("vec")).filter(ok & F.col("vid").isNotNull())
 
 
 def _matrix(column: pa.Array) -> np.ndarray:

@@ -65,13 +65,13 @@ def type_rows(rnd, n):
             w[rnd.randrange(len(w))] = f"new{rnd.randrange(500)}"
         rnd.shuffle(w)
         out.append((i, rnd.choice(["object", "input", "enum", "interface", "object", "field", None]), rnd.choice([" ", ", ", "\t:"]).join(w)))
-    return out + [(n, "object", None), (n + 1, "object", ""), (n + 2, "object", " ".join(f"v{i}" for i in range(30_000))), (n + 3, "object", " ".join(f"v{i}" for i in range(5, 30_000))), (n + 4, "object", "K " * 40)]
+    return out + [(n, "object", None), (n + 1, "object", ""), (n + 2, "object", " ".join(f"v{i}" for i in range(30_000))), (n + 3, "object", " ".join(f"v{i}" for i in range(5, 30_000))), (n + 4, "object", "K " * 40), (None, "object", " ".join(f"v{i}" for i in range(40)))]
 
 
 def test_near_duplicates_brute_force(spark):
     data = type_rows(random.Random(3), 250)
     df = spark.createDataFrame([(*r, 1, 2, 3) for r in data], "row_id long, type string, content string, rep int, words int, sig int")
-    sets = [(i, words(c)) for i, t, c in data if t in D.TYPES]
+    sets = [(i, words(c)) for i, t, c in data if t in D.TYPES and i is not None]
     sets = [(i, s) for i, s in sets if len(s) >= 12]
     want = {(i, j) for k, (i, a) in enumerate(sets) for j, b in sets[k + 1 :] if similar(a, b)}
     got = [tuple(r) for r in D.similar_pairs(df).collect()]
@@ -89,7 +89,7 @@ def test_near_duplicates_brute_force(spark):
 
 # -- neighbours ---------------------------------------------------------------------------------
 def brute_neighbours(rows):
-    ok = [(i, np.array(v, dtype=np.float32).astype(np.float64)) for i, v in rows if v is not None and len(v) == 64 and None not in v and np.isfinite(np.array(v, dtype=np.float32)).all() and any(v)]
+    ok = [(i, np.array(v, dtype=np.float32).astype(np.float64)) for i, v in rows if i is not None and v is not None and len(v) == 64 and None not in v and np.isfinite(np.array(v, dtype=np.float32)).all() and any(v)]
     x = np.stack([v / np.linalg.norm(v) for _, v in ok])
     s = np.round(x @ x.T, 9)
     out = set()
@@ -108,7 +108,7 @@ def vector_rows(seed, n=1500, copies=30):
         v = (c + rng.standard_normal(64) * rng.choice([0.05, 0.3, 0.5])).astype(np.float32)
         rows.append((i, [float(x) for x in v]))
     rows += [(n + i, rows[5][1]) for i in range(copies)] + [(2 * n + i, [x * 4 for x in rows[5][1]]) for i in range(3)]
-    rows += [(9000, None), (9001, [0.0] * 64), (9002, [1.0] * 32), (9003, [float("nan")] * 64), (9004, [float("inf")] + [1.0] * 63), (9005, [None] + [1.0] * 63)]
+    rows += [(9000, None), (9001, [0.0] * 64), (9002, [1.0] * 32), (9003, [float("nan")] * 64), (9004, [float("inf")] + [1.0] * 63), (9005, [None] + [1.0] * 63), (None, rows[5][1])]
     return rows
 
 
@@ -219,6 +219,9 @@ def test_ids_of_a_table(spark):
     assert all(got[i] == T.encode(t).tolist() for i, t in rows if t)
     assert {r["doc_id"]: r["n"] for r in T.token_counts(df).collect()} == {k: len(v) for k, v in got.items()}
     assert T.token_ids(df.limit(0)).count() == 0
+    twins = spark.createDataFrame([(7, long), (7, long), (None, long), (None, "short"), (None, long + "x")], "doc_id long, text string")
+    lengths = sorted(len(r["ids"]) for r in T.token_ids(twins).collect())
+    assert lengths == sorted(len(T.encode(t)) for t in (long, long, long, "short", long + "x"))
 
 
 def test_other_library_gives_the_same_ids():
