@@ -27,7 +27,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return V.neighbours(table(spark, d, "stored_documents")).select(F.col("vid").alias("stored_id"), F.col("other").alias("neighbour_id"), F.col("sim").alias("similarity"))
+    """The search form: stated queries (every hundredth id) against all rows, without a least similarity."""
+    return V.search(table(spark, d, "stored_documents")).select(F.col("vid").alias("stored_id"), F.col("other").alias("neighbour_id"), F.col("sim").alias("similarity"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -82,5 +83,7 @@ t as (select row_id, w, len(w) as n from s where len(w) >= 12),
 p as (select a.row_id as x, b.row_id as y, a.n + b.n as n, len(list_intersect(a.w, b.w)) as c from t a join t b on a.row_id < b.row_id and a.n * 5 >= b.n * 4 and b.n * 5 >= a.n * 4)
 select x as row_id_a, y as row_id_b from p where c * 5 >= (n - c) * 4""",
     "p2_found": f"with {_TOP} select distinct least(q, o) as stored_id_a, greatest(q, o) as stored_id_b from n",
-    "p2_neighbours": f"with {_TOP} select q as stored_id, o as neighbour_id, sim as similarity from n",
+    "p2_neighbours": f"""with {_USABLE},
+s as (select a.i as q, b.i as o, round(list_cosine_similarity(a.e, b.e), 9) as sim from v a join v b on a.i <> b.i where a.i % 100 = 0)
+select q as stored_id, o as neighbour_id, sim as similarity from s qualify row_number() over (partition by q order by sim desc, o) <= 10""",
 }

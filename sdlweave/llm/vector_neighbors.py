@@ -168,6 +168,36 @@ def _router(centre: np.ndarray, far: np.ndarray, lo: np.ndarray, hi: np.ndarray,
     return run
 
 
+def _query_router(sample_ids: np.ndarray, sample: np.ndarray, centre: np.ndarray, far: np.ndarray, lo: np.ndarray, hi: np.ndarray, group: np.ndarray, groups: int):
+    """A visitor for each group with a cell open to the query, whose first bound is its k-th best in the sample."""
+    table, fitted = np.ascontiguousarray(centre.T), np.ascontiguousarray(sample.T)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                ids, x = b.column(0).to_numpy(), _matrix(b.column(1))
+                bound = np.full(len(x), -1.0)
+                if len(sample) > K:
+                    s = x @ fitted
+                    s[ids[:, None] == sample_ids[None]] = -2
+                    bound = np.maximum(bound, np.partition(s, s.shape[1] - K, axis=1)[:, s.shape[1] - K] - 2e-9)
+                reach = np.sqrt(2 - 2 * bound)
+                apart = np.sqrt(np.maximum(0, 2 - 2 * x @ table))
+                r, c = np.nonzero(apart <= far[None] + reach[:, None] + 1e-6)
+                p = x @ _DIRECTIONS
+                gap = (np.maximum(np.maximum(lo[c] - p[r], p[r] - hi[c]), 0) ** 2).sum(1)
+                ok = gap < reach[r] ** 2 * REACH + 1e-9
+                go = np.zeros((b.num_rows, groups + 1), bool)
+                go[r[ok], group[c[ok]]] = True
+                go[:, groups] = True  # the outer rows have no box
+                row, to = np.nonzero(go)
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(np.ones(len(row), bool)), *[b.column(i).take(take) for i in range(2)], pa.array(np.zeros(len(row), np.int32)), pa.array(np.ones(len(row), bool)), pa.array(bound[row])], names=["grp", "visit", "vid", "vec", "cell", "inner", "bound"])
+
+    return run
+
+
 def _column(t: pa.Table, name: str) -> pa.Array:
     c = t.column(name)
     return c.chunk(0) if c.num_chunks == 1 else pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type)
@@ -193,7 +223,7 @@ class Block:
         self.x32 = self.x.astype(np.float32)
         self.p = self.x @ _DIRECTIONS
         self.cells, first = np.unique(self.cell, return_index=True)
-        self.members = np.split(np.arange(len(self.ids)), first[1:])
+        self.members = np.split(np.arange(len(self.ids)), first[1:]) if len(self.ids) else []
         self.lo = np.array([self.p[m].min(0) for m in self.members]).reshape(-1, DIMS)
         self.hi = np.array([self.p[m].max(0) for m in self.members]).reshape(-1, DIMS)
         self.mean = np.array([self.x[m].mean(0) for m in self.members]).reshape(-1, WIDTH)
@@ -237,14 +267,16 @@ class Block:
             cells.append(c[ok])
         return np.concatenate(rows), np.concatenate(cells)
 
-    def search(self, q: np.ndarray, p: np.ndarray, q_ids: np.ndarray, cut: bool, home: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    def search(self, q: np.ndarray, p: np.ndarray, q_ids: np.ndarray, cut: bool, home: bool, bound: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Yields query numbers and their hits as (query, row, similarity). ``home``: the queries are this block's rows."""
+        bound = np.full(len(q), LEAST) if bound is None else bound
         if self.outer:
             everything = np.arange(len(self.ids))
             for n in np.array_split(np.arange(len(q)), -(-len(q) // 256)):
-                yield n, *self.score(q[n], q_ids[n], np.full(len(n), LEAST), everything, cut)
+                yield n, *self.score(q[n], q_ids[n], bound[n], everything, cut)
             return
-        bound = self.bounds() if home else np.full(len(q), LEAST)
+        if home:
+            bound = self.bounds()
         rows, cells = self.open_cells(q, p, bound)
         order = np.argsort(cells, kind="stable")
         rows, first = rows[order], np.searchsorted(cells[order], np.arange(len(self.members) + 1))
@@ -281,6 +313,24 @@ def _solve(t: pa.Table) -> pa.Table:
                 x, q_ids = _matrix(_column(some, "vec")), _column(some, "vid").to_numpy()
                 both = not inner and not block.outer
                 take(q_ids, both, block.search(x, x @ _DIRECTIONS, q_ids, not both, False))
+    return _listed(owners, ids, sims)
+
+
+def _answer(t: pa.Table) -> pa.Table:
+    """Lists of the visitors of one block, each from its own bound on."""
+    visit = _column(t, "visit").to_numpy(zero_copy_only=False)
+    block, guests = Block(t.filter(pa.array(~visit))), t.filter(pa.array(visit))
+    owners, ids, sims = [], [], []
+    if len(block.ids) and guests.num_rows:
+        x, q_ids = _matrix(_column(guests, "vec")), _column(guests, "vid").to_numpy()
+        for n, r, c, s in block.search(x, x @ _DIRECTIONS, q_ids, True, False, _column(guests, "bound").to_numpy()):
+            owners.append(q_ids[n[r]])
+            ids.append(block.ids[c])
+            sims.append(s)
+    return _listed(owners, ids, sims)
+
+
+def _listed(owners: list, ids: list, sims: list) -> pa.Table:
     pairs = [np.concatenate(x) if x else np.zeros(0, k) for x, k in ((owners, np.int64), (ids, np.int64), (sims, np.float64))]
     o, i, s = _top(*pairs)
     who, first = np.unique(o, return_index=True)
@@ -310,43 +360,61 @@ def nearest(vectors: DataFrame, key: str = "stored_id", vector: str = "embedding
     return _lists(spark, rows)
 
 
-def _lists(spark, rows: DataFrame) -> DataFrame:
-    shape = "vid long, ids array<long>, sims array<double>"
-    # the sample: the rows whose hashed ids are smallest, the same at every run
-    sample = rows.orderBy(F.xxhash64("vid"), "vid").limit(SAMPLE).select("vid", "vec").toArrow()
-    if not sample.num_rows:
-        return spark.createDataFrame([], shape)
-    points = _matrix(_column(sample, "vec"))
-    protos = points[prototypes(points)]
-    kept = rows.mapInArrow(_holder(protos), "vid long, vec array<float>, cell int, inner boolean")
-    scored = stage(kept)
-    found = scored.mapInArrow(_boxer(protos), "cell int, n long, far double, lo array<double>, hi array<double>")
-    per = found.groupBy("cell").agg(F.sum("n").alias("n"), F.max("far").alias("far"), *[F.min(F.col("lo")[i]).alias(f"lo{i}") for i in range(DIMS)], *[F.max(F.col("hi")[i]).alias(f"hi{i}") for i in range(DIMS)]).orderBy("cell").toPandas()  # at most a row a prototype
-    outer, per = int(per["n"][per["cell"] < 0].sum()), per[per["cell"] >= 0]
-    cells, weight = per["cell"].to_numpy(), per["n"].to_numpy().astype(np.float64)
-    levels = max(0, round(math.log2(max(1.0, weight.sum() / GROUP_ROWS))))
-    groups, group = 1 << levels, kd_groups(protos[cells] @ _DIRECTIONS, weight, levels) if len(cells) else np.zeros(0, np.int64)
-    group_of = np.zeros(len(protos), np.int64)
-    group_of[cells] = group
-    counts = np.append(np.bincount(group, weights=weight, minlength=groups), outer).astype(np.int64)
-    blocks, total = np.maximum(1, -(-counts // BLOCK_ROWS)), int(counts.sum())
-    route = _router(protos[cells], per["far"].to_numpy(), per[[f"lo{i}" for i in range(DIMS)]].to_numpy(), per[[f"hi{i}" for i in range(DIMS)]].to_numpy(), group, group_of, groups)
-    routed = scored.mapInArrow(route, "grp int, visit boolean, vid long, vec array<float>, cell int, inner boolean")
-    if blocks.max() == 1 and total <= PORTION:
-        placed = routed.withColumns({"block": F.lit(0), "portion": F.lit(0)})
-    else:
-        visitors = routed.filter("visit").groupBy("grp").agg(F.count(F.lit(1)).alias("n")).collect() if total > PORTION else []  # a row a group
+_SHAPE = "vid long, ids array<long>, sims array<double>"
+
+
+class Index:
+    """Prototypes, cells, groups and blocks of all rows. ``rows`` are distinct vectors, ``sample`` some of them."""
+
+    def __init__(self, rows: DataFrame, sample: pa.Table) -> None:
+        self.sample_ids, self.sample = _column(sample, "vid").to_numpy(), _matrix(_column(sample, "vec"))
+        protos = self.sample[prototypes(self.sample)]
+        self.scored = stage(rows.mapInArrow(_holder(protos), "vid long, vec array<float>, cell int, inner boolean"))
+        found = self.scored.mapInArrow(_boxer(protos), "cell int, n long, far double, lo array<double>, hi array<double>")
+        per = found.groupBy("cell").agg(F.sum("n").alias("n"), F.max("far").alias("far"), *[F.min(F.col("lo")[i]).alias(f"lo{i}") for i in range(DIMS)], *[F.max(F.col("hi")[i]).alias(f"hi{i}") for i in range(DIMS)]).orderBy("cell").toPandas()  # at most a row a prototype
+        outer, per = int(per["n"][per["cell"] < 0].sum()), per[per["cell"] >= 0]
+        cells, weight = per["cell"].to_numpy(), per["n"].to_numpy().astype(np.float64)
+        levels = max(0, round(math.log2(max(1.0, weight.sum() / GROUP_ROWS))))
+        self.groups, self.group = 1 << levels, kd_groups(protos[cells] @ _DIRECTIONS, weight, levels) if len(cells) else np.zeros(0, np.int64)
+        self.group_of = np.zeros(len(protos), np.int64)
+        self.group_of[cells] = self.group
+        counts = np.append(np.bincount(self.group, weights=weight, minlength=self.groups), outer).astype(np.int64)
+        self.blocks, self.total = np.maximum(1, -(-counts // BLOCK_ROWS)), int(counts.sum())
+        self.cells = (protos[cells], per["far"].to_numpy(), per[[f"lo{i}" for i in range(DIMS)]].to_numpy(), per[[f"hi{i}" for i in range(DIMS)]].to_numpy(), self.group)
+
+    def place(self, routed: DataFrame) -> DataFrame:
+        """Adds ``block`` and ``portion``: a row lies in its block, for all portions of visitors, and visits the other blocks of its group."""
+        if self.blocks.max() == 1 and self.total <= PORTION:
+            return routed.withColumns({"block": F.lit(0), "portion": F.lit(0)})
+        visitors = routed.filter("visit").groupBy("grp").agg(F.count(F.lit(1)).alias("n")).collect() if self.total > PORTION else []  # a row a group
         portions = {r["grp"]: -(-r["n"] // PORTION) for r in visitors}
-        sizes = F.broadcast(spark.createDataFrame([(g, int(blocks[g]), int(portions.get(g, 1))) for g in range(groups + 1)], "grp int, blocks int, portions int"))
-        known = routed.join(sizes, "grp")
+        sizes = F.broadcast(routed.sparkSession.createDataFrame([(g, int(self.blocks[g]), int(portions.get(g, 1))) for g in range(self.groups + 1)], "grp int, blocks int, portions int"))
         own = F.pmod(F.xxhash64("vid"), F.col("blocks").cast("long")).cast("int")
         share = F.pmod(F.xxhash64("vid", F.lit(3)), F.col("portions").cast("long")).cast("int")
-        # a row lies in its block, for all portions of visitors; it visits the other blocks of its group
         here = F.transform(F.sequence(F.lit(0), F.col("portions") - 1), lambda p: F.struct(F.lit(False).alias("visit"), own.alias("block"), p.alias("portion")))
         there = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.lit(True).alias("visit"), b.alias("block"), share.alias("portion")))
-        spots = F.when(F.col("visit"), there).otherwise(F.concat(here, F.filter(there, lambda x: x["block"] != own)))
-        placed = known.withColumn("spot", F.explode(spots)).select("grp", "spot.block", "spot.portion", "spot.visit", "vid", "vec", "cell", "inner")
-    solved = placed.groupBy("grp", "block", "portion").applyInArrow(_solve, shape)
+        only_data = "bound" in routed.columns  # stated queries: rows do not search
+        spots = F.when(F.col("visit"), there).otherwise(here if only_data else F.concat(here, F.filter(there, lambda x: x["block"] != own)))
+        rest = [c for c in routed.columns if c not in ("grp", "visit")]
+        return routed.join(sizes, "grp").withColumn("spot", F.explode(spots)).select("grp", "spot.block", "spot.portion", "spot.visit", *rest)
+
+
+def _sample(rows: DataFrame) -> pa.Table:
+    """The rows whose hashed ids are smallest, the same at every run."""
+    return rows.orderBy(F.xxhash64("vid"), "vid").limit(SAMPLE).select("vid", "vec").toArrow()
+
+
+def _lists(spark, rows: DataFrame) -> DataFrame:
+    sample = _sample(rows)
+    if not sample.num_rows:
+        return spark.createDataFrame([], _SHAPE)
+    index = Index(rows, sample)
+    route = _router(*index.cells, index.group_of, index.groups)
+    routed = index.scored.mapInArrow(route, "grp int, visit boolean, vid long, vec array<float>, cell int, inner boolean")
+    return _merged(index.place(routed).groupBy("grp", "block", "portion").applyInArrow(_solve, _SHAPE))
+
+
+def _merged(solved: DataFrame) -> DataFrame:
     entries = F.flatten(F.collect_list(F.arrays_zip("ids", "sims")))  # at most K entries a block that was visited
     ranked = F.array_sort(F.array_distinct(F.transform(entries, lambda x: F.struct((-x["sims"]).alias("s"), x["ids"].alias("i")))))
     merged = solved.groupBy("vid").agg(F.slice(ranked, 1, K).alias("l"))
@@ -370,6 +438,34 @@ def neighbours(vectors: DataFrame, key: str = "stored_id", vector: str = "embedd
     return each.withColumn("rn", rank).filter(F.col("rn") <= K).drop("rn")
 
 
+def search(vectors: DataFrame, every: int = 100, key: str = "stored_id", vector: str = "embedding") -> DataFrame:
+    """``vid, other, sim``: the K most similar rows to every row whose key is divisible by ``every``, whatever the similarity.
+
+    The queries are stated and few; they visit the rows, which do not search. An outer or distant query has a
+    far k-th neighbour and so visits much.
+    """
+    spark = vectors.sparkSession
+    everyone = usable(vectors, key, vector)
+    rows, copies = distinct_vectors(everyone)
+    sample = _sample(rows)
+    if not sample.num_rows:
+        return spark.createDataFrame([], "vid long, other long, sim double")
+    index = Index(rows, sample)
+    shape = "grp int, visit boolean, vid long, vec array<float>, cell int, inner boolean, bound double"
+    group = F.element_at(F.lit([int(g) for g in index.group_of]), F.col("cell") + 1)
+    data = index.scored.select(F.when(F.col("inner"), group).otherwise(index.groups).cast("int").alias("grp"), F.lit(False).alias("visit"), "vid", "vec", "cell", "inner", F.lit(0.0).alias("bound"))
+    queries = everyone.filter(F.col("vid") % every == 0).mapInArrow(_query_router(index.sample_ids, index.sample, *index.cells, index.groups), shape)
+    lists = _merged(index.place(data.unionByName(queries)).groupBy("grp", "block", "portion").applyInArrow(_answer, _SHAPE))
+    flat = lists.select("vid", F.inline(F.arrays_zip("ids", "sims"))).toDF("vid", "other", "sim")
+    if copies is None:
+        return flat
+    first = copies.withColumn("rn", F.row_number().over(Window.partitionBy("rep").orderBy("vid"))).filter(F.col("rn") <= K + 1).select("rep", F.col("vid").alias("copy"))
+    wide = flat.join(first.withColumnRenamed("rep", "other"), "other", "left").select("vid", F.coalesce("copy", "other").alias("other"), "sim")
+    own = first.filter(F.col("rep") % every == 0).select(F.col("rep").alias("vid"), F.col("copy").alias("other"), F.lit(1.0).alias("sim"))
+    rank = F.row_number().over(Window.partitionBy("vid").orderBy(F.desc("sim"), "other"))
+    return wide.union(own).filter("vid <> other").withColumn("rn", rank).filter(F.col("rn") <= K).drop("rn")
+
+
 def neighbour_pairs(vectors: DataFrame) -> DataFrame:
     """``stored_id_a, stored_id_b``, smaller first, once: either is a neighbour of the other."""
     n = neighbours(vectors)

@@ -68,7 +68,11 @@ def type_rows(rnd, n):
     return out + [(n, "object", None), (n + 1, "object", ""), (n + 2, "object", " ".join(f"v{i}" for i in range(30_000))), (n + 3, "object", " ".join(f"v{i}" for i in range(5, 30_000))), (n + 4, "object", "K " * 40), (None, "object", " ".join(f"v{i}" for i in range(40)))]
 
 
-def test_near_duplicates_brute_force(spark):
+@pytest.mark.parametrize("hot", [False, True])
+def test_near_duplicates_brute_force(spark, monkeypatch, hot):
+    if hot:  # every key that two sets share counts as hot
+        monkeypatch.setattr(D, "HOT_ROWS", 2)
+        monkeypatch.setattr(D, "BLOCK_ROWS", 1)
     data = type_rows(random.Random(3), 250)
     df = spark.createDataFrame([(*r, 1, 2, 3) for r in data], "row_id long, type string, content string, rep int, words int, sig int")
     sets = [(i, words(c)) for i, t, c in data if t in D.TYPES and i is not None]
@@ -88,13 +92,13 @@ def test_near_duplicates_brute_force(spark):
 
 
 # -- neighbours ---------------------------------------------------------------------------------
-def brute_neighbours(rows):
+def brute_neighbours(rows, least=0.85, every=1):
     ok = [(i, np.array(v, dtype=np.float32).astype(np.float64)) for i, v in rows if i is not None and v is not None and len(v) == 64 and None not in v and np.isfinite(np.array(v, dtype=np.float32)).all() and any(v)]
     x = np.stack([v / np.linalg.norm(v) for _, v in ok])
     s = np.round(x @ x.T, 9)
     out = set()
     for k, (i, _) in enumerate(ok):
-        near = sorted(((-s[k, m], j) for m, (j, _) in enumerate(ok) if m != k and s[k, m] >= 0.85))[:10]
+        near = sorted(((-s[k, m], j) for m, (j, _) in enumerate(ok) if m != k and s[k, m] >= least))[:10] if i % every == 0 else []
         out |= {(i, j) for _, j in near}
     return out
 
@@ -127,6 +131,19 @@ def test_neighbours_brute_force(spark, monkeypatch, small):
     assert len({(min(p), max(p)) for p in want} - set(pairs)) <= 0.001 * len(pairs)
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_search_brute_force(spark, monkeypatch, small):
+    if small:
+        for k, v in {"GROUP_ROWS": 200, "BLOCK_ROWS": 150, "PORTION": 100, "SAMPLE": 400}.items():
+            monkeypatch.setattr(V, k, v)
+    rows = vector_rows(3, 1200, 20)
+    df = spark.createDataFrame(rows, "stored_id long, embedding array<float>")
+    got = {(r["vid"], r["other"]) for r in V.search(df, 10).collect()}
+    want = brute_neighbours(rows, -2, 10)
+    assert len(got) == len(want) and len(got & want) >= 0.999 * len(want)
+    assert V.search(df.limit(0)).count() == 0
+
+
 def test_neighbours_of_a_hot_group_and_of_nothing(spark):
     rows = vector_rows(2, 60, 400)
     df = spark.createDataFrame(rows, "stored_id long, embedding array<float>")
