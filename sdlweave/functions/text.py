@@ -110,8 +110,8 @@ def endpoint(host: Column) -> Column:
     return F.when(clean.rlike("^https?://"), clean).otherwise(F.concat(F.lit("https://"), clean))
 
 
-#: Words that a search text can lose; a fixed list.
-FILLER = ("a", "an", "the", "please", "me", "my", "i", "want", "to", "need", "get", "show", "give", "list", "find", "all", "of", "for", "with", "and", "can", "you", "how", "do", "what", "is", "are", "query", "mutation", "fetch")
+#: The filler words that a search text loses.
+FILLER = ("get", "all", "with", "their", "find", "show", "me", "the", "a", "an", "of", "for", "by", "and", "or")
 
 
 def search_terms(text: Column) -> Column:

@@ -45,6 +45,10 @@ class _Files:
         finally:
             stream.close()
 
+    def delete(self, path: str) -> None:
+        fs, p = self._open(path)
+        fs.delete(p, True)
+
     def replace(self, path: str, text: str) -> None:
         """Write beside the file, then rename over it."""
         fs, p = self._open(path)
@@ -109,6 +113,14 @@ class VectorCollection:
         self._commit("rows", self.spark.createDataFrame([], STORED))
         self._commit("meta", self._meta().filter(F.col("key") != SDL_KEY))
 
+    def vacuum(self) -> int:
+        """Delete the versions that no pointer names; no reader of an older version may be at work. Returns their number."""
+        named = {self.files.read(f"{self.base}/{part}.current") for part in ("rows", "meta")}
+        old = [n for n in self.files.names(self.base) if n.startswith(("rows-", "meta-")) and n not in named]
+        for n in old:
+            self.files.delete(f"{self.base}/{n}")
+        return len(old)
+
     # -- reading --------------------------------------------------------------------------------
     def count(self) -> int:
         return self.read().count()

@@ -71,14 +71,14 @@ def build_errors(outputs: DataFrame, output: str = "output", keep: str = "run_id
 def place_errors(errors: DataFrame, subgraphs: DataFrame, keep: str = "run_id") -> DataFrame:
     """``keep, error_no, subgraph_name, file, message, line, column, end_line, end_column`` (lines from 0).
 
-    An error that mentions several subgraphs (``"name"``, ``[name]`` or ``─[ name:``) gives a row for each, with the
+    An error that mentions several subgraphs (``"name"``, ``[name]`` or ``─[ name:line:column ]``) gives a row for each, with the
     name before the message; otherwise its first node's subgraph (whatever the case) places it, else the one it
     mentions, else the first. ``subgraphs`` has ``subgraph_pos, subgraph_name, schema_path`` of one design.
     """
     errors = errors.withColumn("nodes", F.coalesce("nodes", F.array().cast(errors.schema["nodes"].dataType)))
     subs = subgraphs.select("subgraph_pos", "subgraph_name", "schema_path")
     lower = lambda c: F.lower(F.col(c))
-    said = F.array_distinct(F.concat(*[F.regexp_extract_all("message", F.lit(p), F.lit(1)) for p in (r'"([^"]+)"', r"\[([^\[\]]+)\]", r"─\[ ([^:\]]+):")]))
+    said = F.array_distinct(F.concat(*[F.regexp_extract_all("message", F.lit(p), F.lit(1)) for p in (r'"([^"]+)"', r"\[([^\[\]]+)\]", r"[╭├]─\[\s*([^:\]]+):\d+:\d+\s*\]")]))
     key = [keep, "error_no"]
     mentioned = errors.select(*key, F.explode(said).alias("subgraph_name")).join(subs, "subgraph_name")
     counted = mentioned.groupBy(*key).agg(F.count(F.lit(1)).alias("n_mentioned"))

@@ -75,3 +75,33 @@ def sync(spark: SparkSession, sdl: str, collection: VectorCollection, provider:
         embed_and_store(add, collection, provider)
     collection.store_sdl(sdl)
     return {"added": add.count(), "deleted": gone.count(), "unchanged": same, "updated": 0}
+
+
+class EmbeddingService:
+    """A provider and a collection as one: embed and store, search by text, delete, clear, count."""
+
+    def __init__(self, collection: VectorCollection, provider: EmbeddingProvider) -> None:
+        self.collection, self.provider = collection, provider
+
+    def initialize(self) -> EmbeddingService:
+        self.collection.create()
+        return self
+
+    def embed_and_store(self, docs: DataFrame, max_tokens: int | None = None) -> DataFrame:
+        return embed_and_store(docs, self.collection, self.provider, max_tokens)
+
+    def search(self, text: str, limit: int = 10, **filters) -> DataFrame:
+        """``name, type, content, score`` of the most similar documents."""
+        return self.collection.search(self.provider.embed(text), limit, **filters).select("id", "name", "type", "content", "score")
+
+    def sync(self, sdl: str) -> dict[str, int]:
+        return sync(self.collection.spark, sdl, self.collection, self.provider)
+
+    def delete(self, ids: list[str]) -> None:
+        self.collection.delete(ids)
+
+    def clear(self) -> None:
+        self.collection.clear()
+
+    def count(self) -> int:
+        return self.collection.count()

@@ -90,7 +90,8 @@ OUTPUT = """{"error": {"details": {"build_errors": [
  {"message": "Type of field \\"Order.id\\" differs in \\"orders\\" and \\"users\\"", "nodes": [{"subgraph": "ORDERS", "start": {"line": 3, "column": 5}, "end": {"line": 3, "column": 9}}]},
  {"message": "bad link", "nodes": [{"subgraph": "Users", "start": {"line": 1, "column": 2}, "end": {"line": 1, "column": 4}}]},
  {"message": "[users] fails", "nodes": []},
- {"message": "unknown trouble", "nodes": null}]}}}"""
+ {"message": "unknown trouble", "nodes": null},
+ {"message": "see ╭─[ users:3:7 ] there", "nodes": []}]}}}"""
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -215,7 +216,7 @@ def introspection_sdl(spark):
     "error_no, subgraph_name, file, message, line, \"column\"",
     """
 (0, 'orders', 'o.graphql', '[orders] Type of field "Order.id" differs in "orders" and "users"', 2, 5), (0, 'users', 'u.graphql', '[users] Type of field "Order.id" differs in "orders" and "users"', -1, -1),
-(1, 'users', 'u.graphql', 'bad link', 0, 2), (2, 'users', 'u.graphql', '[users] fails', -1, -1), (3, 'orders', 'o.graphql', 'unknown trouble', -1, -1)""",
+(1, 'users', 'u.graphql', 'bad link', 0, 2), (2, 'users', 'u.graphql', '[users] fails', -1, -1), (3, 'orders', 'o.graphql', 'unknown trouble', -1, -1), (4, 'users', 'u.graphql', 'see ╭─[ users:3:7 ] there', -1, -1)""",
 )
 def compose_errors(spark):
     errors = D.build_errors(spark.createDataFrame([(1, OUTPUT), (2, "not json")], "run_id int, output string"))
@@ -223,7 +224,7 @@ def compose_errors(spark):
     return D.place_errors(errors, subs).select("error_no", "subgraph_name", "file", "message", F.coalesce("line", F.lit(-1)).alias("line"), F.coalesce("column", F.lit(-1)).alias("column"))
 
 
-@fixture("file, n, first", "('o.graphql', 2, '[orders] Type of field \"Order.id\" differs in \"orders\" and \"users\"'), ('u.graphql', 3, '[users] Type of field \"Order.id\" differs in \"orders\" and \"users\"')")
+@fixture("file, n, first", "('o.graphql', 2, '[orders] Type of field \"Order.id\" differs in \"orders\" and \"users\"'), ('u.graphql', 4, '[users] Type of field \"Order.id\" differs in \"orders\" and \"users\"')")
 def diagnostics_by_file(spark):
     placed = QUERIES["compose_errors"](spark, "").withColumn("severity", F.lit("error"))
     g = D.group_diagnostics(placed.withColumn("message", F.when(F.col("error_no") == 0, F.col("message")).otherwise("x")))

@@ -16,7 +16,7 @@ from sdlweave.operators import lint, rows, search
 from sdlweave.operators.collection import VectorCollection, collections, replace_entities
 from sdlweave.operators.embedding import HashingEmbedder, embed_documents
 from sdlweave.operators.predicates import ColumnFilter, MetadataFilter, condition
-from sdlweave.operators.sync import document_frame, embed_and_store, sync
+from sdlweave.operators.sync import EmbeddingService, document_frame, embed_and_store, sync
 from sdlweave.operators.validation import first_event, read_validation, validate_operation, validate_schema
 from sdlweave.plans.fixtures import SHOP
 from sdlweave.schema import EngineConfig
@@ -97,6 +97,19 @@ def test_incremental_sync(spark, tmp_path):
     assert sync(spark, SHOP, c, e)["deleted"] == 0
 
 
+def test_service(spark, tmp_path):
+    s = EmbeddingService(VectorCollection(spark, str(tmp_path), "t"), HashingEmbedder()).initialize()
+    assert s.sync(SHOP)["added"] == s.count() > 10
+    hits = s.search("place order input", 3).collect()
+    assert hits[0]["score"] >= hits[1]["score"] >= hits[2]["score"] and "rder" in hits[0]["content"]
+    s.delete([hits[0]["id"]])
+    assert s.search("place order input", 1).first()["id"] != hits[0]["id"]
+    n = s.count()
+    assert s.collection.vacuum() > 2 and s.count() == n and s.collection.vacuum() == 0
+    s.clear()
+    assert s.count() == 0
+
+
 def test_stream_keeps_in_step(spark, tmp_path):
     folder, c = tmp_path / "in", VectorCollection(spark, str(tmp_path / "c"), "t")
     folder.mkdir()
@@ -206,7 +219,7 @@ def test_generation_edges(shop, spark):
         g.run("  ")
     fallback = Generator(shop.read(), HashingEmbedder(), script(), SHOP).keyword_fallback("the order please")
     assert (fallback.operation_type, fallback.root_field) == ("query", "order")
-    assert Generator(shop.read(), HashingEmbedder(), ScriptedModel({}), SHOP).terms("please show me the orders") == "orders"
+    assert Generator(shop.read(), HashingEmbedder(), ScriptedModel({}), SHOP).terms("show me all the orders") == "orders"
 
 
 @pytest.mark.parametrize("pick", ["exact", "part", "none", "empty"])
