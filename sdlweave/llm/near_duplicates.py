@@ -14,7 +14,9 @@ of a table is a hash of the kept words. Colliding pairs pass a parity sketch (a
 difference, so nothing is lost) and then the exact test.
 
 Equal sets are one class first: one representative enters the tables, however many copies there are.
-Hot table keys are left to the adaptive skew join, which splits their partitions.
+Table keys shared by very many different sets (found by a frequent-items sketch, which combines on the map
+side) are salted: a set lies in one block of its key and is compared from there with all blocks, so the pairs
+of a hot key are spread over as many tasks as it has blocks. No pair is dropped.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ TYPES = ("object", "interface", "input", "enum")
 MIN_WORDS = 12
 #: Largest radius of one part; 2 ** (RADIUS + 1) - 1 tables a part.
 RADIUS = 2
+#: Sets that share a table key from which it is salted, sets of one block, keys that the sketch reports.
+HOT_ROWS, BLOCK_ROWS, HOT_KEYS = 20_000, 4_000, 1_000
 _LABELS = 1 << (RADIUS + 1)
 _SKETCH_BITS, _SIZE_CAP = 52, 4095
 
@@ -139,14 +143,29 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return reps, member
 
 
+def _spread(signed: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the self-join with ``blk``: 0, or for hot keys the own block and every block."""
+    hot = []
+    if reps.count() >= HOT_ROWS:  # fewer sets cannot make a hot key
+        sketch = signed.agg(F.expr(f"approx_top_k(sig, {HOT_KEYS}, {10 * HOT_KEYS})").alias("t"))
+        hot = [(r["item"], -(-r["count"] // BLOCK_ROWS)) for r in sketch.select(F.inline("t")).collect() if r["count"] >= HOT_ROWS]  # at most HOT_KEYS rows
+    if not hot:
+        plain = signed.withColumn("blk", F.lit(0))
+        return plain, plain
+    marked = signed.join(F.broadcast(signed.sparkSession.createDataFrame(hot, "sig long, blocks long")), "sig", "left")
+    own = marked.withColumn("blk", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("rep"), F.col("blocks"))).cast("int"))
+    every = marked.withColumn("blk", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))))
+    return own.drop("blocks"), every.drop("blocks")
+
+
 def links(reps: DataFrame) -> DataFrame:
     """Staged ``a, b`` (a < b): all pairs of distinct sets with similarity at least 4/5."""
     signed = reps.select("rep", "words").repartition("rep").mapInArrow(_sign, "sig long, rep long, sk long")
     mask = (1 << _SKETCH_BITS) - 1
-    x, y = signed.alias("x"), signed.alias("y")
+    x, y = (d.alias(n) for d, n in zip(_spread(signed, reps), "xy"))
     size = lambda s: F.shiftrightunsigned(F.col(f"{s}.sk"), _SKETCH_BITS)
     near = (F.bit_count(F.col("x.sk").bitwiseXOR(F.col("y.sk")).bitwiseAND(F.lit(mask))) * 9 <= size("x") + size("y")) & (F.least(size("x"), size("y")) * 5 >= F.greatest(size("x"), size("y")) * 4)
-    pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.rep") < F.col("y.rep")) & near).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.blk") == F.col("y.blk")) & (F.col("x.rep") < F.col("y.rep")) & near).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     words = reps.select("rep", "words")
     both = pairs.join(words.select(F.col("rep").alias("a"), F.col("words").alias("wa")), "a").join(words.select(F.col("rep").alias("b"), F.col("words").alias("wb")), "b")
     common = F.size(F.array_intersect("wa", "wb"))
