@@ -272,12 +272,15 @@ def diff_unchanged(spark, d):
     return rows.unchanged(*_halves(spark, d))
 
 
-@query("""with n as (select o_orderkey, o_custkey + 1 as o_custkey, o_orderstatus, 1 as src from orders where o_orderkey % 3 = 0),
-b as (select o_orderkey, o_custkey, o_orderstatus, 0 as src from orders where o_orderkey % 2 = 0 union all select * from n)
+@query("""with n as (select o_orderkey, o_custkey + 1 as o_custkey, o_orderstatus, 1 as src from orders where o_orderdate >= timestamp '1996-01-01'),
+b as (select o_orderkey, o_custkey, o_orderstatus, 0 as src from orders where o_orderdate < timestamp '1997-01-01' union all select * from n)
 select o_orderkey, o_custkey, o_orderstatus from b qualify row_number() over (partition by o_orderkey order by src desc) = 1""")
 def upsert_merge(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
-    return rows.upsert(o.filter("o_orderkey % 2 = 0"), o.filter("o_orderkey % 3 = 0").withColumn("o_custkey", F.col("o_custkey") + 1), "o_orderkey")
+    """Orders before 1997, with those since 1996 loaded again."""
+    o = table(spark, d, "orders")
+    cols = ["o_orderkey", "o_custkey", "o_orderstatus"]
+    old, new = o.filter("o_orderdate < timestamp_ntz'1997-01-01'").select(cols), o.filter("o_orderdate >= timestamp_ntz'1996-01-01'").select(cols)
+    return rows.upsert(old, new.withColumn("o_custkey", F.col("o_custkey") + 1), "o_orderkey")
 
 
 @query("select row_id, collection, name from embedding_documents e where type <> 'field' and not exists (select 1 from removals r where r.collection = e.collection and r.type_name = e.name)")
@@ -353,11 +356,10 @@ def score_buckets(spark, d):
     return s.select("vec_id", X.score_bucket(F.col("score")).alias("bucket"), X.score_bar(F.col("score")).alias("bar"))
 
 
-@query("select row_id, content as code from embedding_documents where type = 'scalar' and trim(content) = content and content <> ''")
+@query(r"select row_id, regexp_replace(content, '^\s+|\s+$', '', 'g') as code from embedding_documents where content <> ''")
 def code_block_extract(spark, d):
-    scalars = _docs(spark, d).filter("type = 'scalar' and trim(content) = content and content <> ''")
     answer = F.concat(F.lit("Here it is:\n```graphql\n"), "content", F.lit("\n```\nand\n```json\n{}\n```"))
-    return scalars.select("row_id", X.code_block(answer, "graphql").alias("code"))
+    return _docs(spark, d).filter("content <> ''").select("row_id", X.code_block(answer, "graphql").alias("code"))
 
 
 @query("select batch_id, case when payload is not null and json_valid(payload) then regexp_replace(payload, '^\\s+|\\s+$', '', 'g') else '{}' end as variables from raw_batches")
