@@ -357,7 +357,7 @@ def nearest(vectors: DataFrame, key: str = "stored_id", vector: str = "embedding
     """
     spark = vectors.sparkSession
     rows, _ = distinct_vectors(usable(vectors, key, vector))
-    return _lists(spark, rows)
+    return _lists(spark, rows, vectors.count())
 
 
 _SHAPE = "vid long, ids array<long>, sims array<double>"
@@ -399,13 +399,21 @@ class Index:
         return routed.join(sizes, "grp").withColumn("spot", F.explode(spots)).select("grp", "spot.block", "spot.portion", "spot.visit", *rest)
 
 
-def _sample(rows: DataFrame) -> pa.Table:
-    """The rows whose hashed ids are smallest, the same at every run."""
-    return rows.orderBy(F.xxhash64("vid"), "vid").limit(SAMPLE).select("vid", "vec").toArrow()
+def _sample(rows: DataFrame, total: int) -> pa.Table:
+    """At most SAMPLE rows, those whose hashed ids are smallest; the same at every run.
+
+    ``total`` rows are known, so a cut of the hash range leaves little more than that to the driver and no sort of the
+    vectors is needed.
+    """
+    h = F.shiftrightunsigned(F.xxhash64("vid"), 1)
+    some = rows.select("vid", "vec", h.alias("h"))
+    if total > SAMPLE:
+        some = some.filter(F.col("h") < int(1.2 * SAMPLE / total * 2**63) if 1.2 * SAMPLE < total else F.lit(True))
+    return some.toArrow().sort_by([("h", "ascending"), ("vid", "ascending")]).slice(0, SAMPLE)
 
 
-def _lists(spark, rows: DataFrame) -> DataFrame:
-    sample = _sample(rows)
+def _lists(spark, rows: DataFrame, total: int) -> DataFrame:
+    sample = _sample(rows, total)
     if not sample.num_rows:
         return spark.createDataFrame([], _SHAPE)
     index = Index(rows, sample)
@@ -425,7 +433,7 @@ def neighbours(vectors: DataFrame, key: str = "stored_id", vector: str = "embedd
     """``vid, other, sim``: up to K neighbours of every usable row, copies included."""
     spark = vectors.sparkSession
     rows, copies = distinct_vectors(usable(vectors, key, vector))
-    lists = _lists(spark, rows).select("vid", F.inline(F.arrays_zip("ids", "sims"))).toDF("vid", "other", "sim")
+    lists = _lists(spark, rows, vectors.count()).select("vid", F.inline(F.arrays_zip("ids", "sims"))).toDF("vid", "other", "sim")
     if copies is None:
         return lists
     few = copies.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
@@ -447,7 +455,7 @@ def search(vectors: DataFrame, every: int = 100, key: str = "stored_id", vector:
     spark = vectors.sparkSession
     everyone = usable(vectors, key, vector)
     rows, copies = distinct_vectors(everyone)
-    sample = _sample(rows)
+    sample = _sample(rows, vectors.count())
     if not sample.num_rows:
         return spark.createDataFrame([], "vid long, other long, sim double")
     index = Index(rows, sample)
