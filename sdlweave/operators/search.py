@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from sdlweave.functions.similarity import cosine, query_vector
@@ -58,20 +62,49 @@ def ladder(results: DataFrame, start: float = MIN_SIMILARITY, step: float = STEP
     return results.join(F.broadcast(best.select(F.array_max(tried).alias("threshold"))), F.col("score") >= F.col("threshold"))
 
 
-def batch_top_k(df: DataFrame, queries: DataFrame, k: int = DEFAULT_LIMIT, key: str = "id", query_key: str = "query_id", vector: str = "embedding", query: str = "query", block: int = 10_000) -> DataFrame:
-    """``query_key, key, score, rank`` of a stated set of queries against all rows.
+def unit_rows(vectors: pa.Array, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and unit vectors of the rows that can be compared: of the width, finite and not all zero."""
+    got = [(i, np.asarray(v, dtype=np.float64)) for i, v in enumerate(vectors.to_pylist()) if v and None not in v and (width is None or len(v) == width)]
+    got = [(i, v) for i, v in got if np.isfinite(v).all() and v.any()]
+    x = np.array([v for _, v in got]) if got else np.zeros((0, width or 1))
+    return np.array([i for i, _ in got], dtype=np.int64), x / np.linalg.norm(x, axis=1, keepdims=True)
 
-    The queries are counted and broadcast in blocks of about ``block``; a per-task rank limit precedes the shuffle.
+
+def batch_top_k(df: DataFrame, queries: DataFrame, k: int = DEFAULT_LIMIT, key: str = "id", query_key: str = "query_id", vector: str = "embedding", query: str = "query", block: int = 5_000) -> DataFrame:
+    """``query_key, key, score, rank`` of a stated set of queries, of one width, against all rows.
+
+    The queries are counted and go to the tasks in blocks of about ``block``. A task multiplies each batch of rows with
+    all of them and passes on the ``k`` best a query, so no pair reaches a shuffle that could not win. Vectors that
+    cannot be compared take no part; the smaller key wins a tie.
     """
     stated = queries.select(F.col(query_key), F.col(query))
     blocks = max(1, -(-stated.count() // block))
-    parts = [stated if blocks == 1 else stated.filter(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == b) for b in range(blocks)]
-    order = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
+    shape = T.StructType([queries.schema[query_key], df.schema[key], T.StructField("score", T.DoubleType())])
     out = []
-    for part in parts:
-        pairs = df.select(key, vector).join(F.broadcast(part)).select(query_key, key, cosine(F.col(vector), F.col(query)).alias("score")).filter(F.col("score").isNotNull())
-        out.append(pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k))
-    return reduce(DataFrame.unionByName, out)
+    for n in range(blocks):
+        part = (stated if blocks == 1 else stated.filter(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == n)).toArrow().combine_chunks()  # a block of queries
+        at, q = unit_rows(part.column(1).chunk(0) if part.num_rows else pa.array([], pa.list_(pa.float64())))
+        out.append(df.select(key, vector).mapInArrow(_scorer(part.column(0).take(pa.array(at)).combine_chunks(), q, k, query_key, key), shape))
+    order = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
+    return reduce(DataFrame.unionByName, out).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def _scorer(query_keys: pa.Array, q: np.ndarray, k: int, query_key: str, key: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows if len(q) else 0, 2_000):
+                b = whole.slice(start, 2_000)
+                at, x = unit_rows(b.column(1), q.shape[1])
+                if not len(at):
+                    continue
+                keys = b.column(0).take(pa.array(at))
+                order = pc.array_sort_indices(keys).to_numpy()  # by key, so that a stable sort by score breaks ties
+                s = q @ x[order].T
+                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                r = np.repeat(np.arange(len(q)), best.shape[1])
+                yield pa.RecordBatch.from_arrays([query_keys.take(pa.array(r)), keys.take(pa.array(order[best.ravel()])), pa.array(s[r, best.ravel()])], names=[query_key, key, "score"])
+
+    return run
 
 
 def lookup(df: DataFrame, metadata: Iterable[MetadataFilter] = (), columns: Iterable[ColumnFilter] = (), order: Sequence[str] = ("ordinal",), limit: int | None = None) -> DataFrame:

@@ -178,6 +178,16 @@ def test_search_of_odd_vectors(spark):
     assert [(r["id"], r["score"]) for r in search.top_k(df, [1.0, 0.0], 5).collect()] == [(0, 1.0), (5, 1.0), (6, 0.0)]
 
 
+def test_batch_search_in_blocks(spark):
+    v = [[1.0, 0.0], [0.0, 0.0], None, [float("nan"), 1.0], [1.0], [2.0, 0.0], [0.0, 1.0], [1.0, 1.0], [None, 1.0], []]
+    df = spark.createDataFrame([(f"k{i}", x) for i, x in enumerate(v)], "id string, embedding array<float>")
+    queries = spark.createDataFrame([(1, [3.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [1.0, 0.0])], "query_id int, query array<float>")
+    for block in (1, 2, 100):
+        got = [(r["query_id"], r["id"], round(r["score"], 6), r["rank"]) for r in search.batch_top_k(df, queries, 2, block=block).orderBy("query_id", "rank").collect()]
+        assert got == [(1, "k0", 1.0, 1), (1, "k5", 1.0, 2), (2, "k6", 1.0, 1), (2, "k7", 0.707107, 2), (5, "k0", 1.0, 1), (5, "k5", 1.0, 2)]
+    assert search.batch_top_k(df, queries.limit(0), 2).count() == 0 == search.batch_top_k(df.limit(0), queries, 2).count()
+
+
 def test_lint_switches(spark):
     n = lint.nodes(spark.createDataFrame([("s", SHOP)], "path string, sdl string"))
     assert {r["rule"] for r in lint.lint(n, ["INPUT_TYPE_SUFFIX", lint.USAGE_RULES[0]]).collect()} == {"INPUT_TYPE_SUFFIX", lint.USAGE_RULES[0]}
