@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sdlweave.runtime import stage
+from sdlweave.runtime import spread, stage
 
 _ZERO = re.compile("[\u200b-\u200f\u2060\ufeff\u00ad]")
 _SPACES = re.compile("[\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]")
@@ -165,7 +165,8 @@ def profiles(docs: DataFrame) -> DataFrame:
     """Staged measures of every document with a text."""
     code = F.lower(F.substring(F.trim(F.coalesce("lang", F.lit(""))), 1, 2))
     lang = F.when(code.isin(*LANGUAGES), code).otherwise("other")
-    return stage(docs.filter(F.col("text").isNotNull()).select("doc_id", lang.alias("lang"), "text").mapInArrow(_profile, _SHAPE))
+    texts = docs.filter(F.col("text").isNotNull()).select("doc_id", lang.alias("lang"), "text")
+    return stage(spread(texts).mapInArrow(_profile, _SHAPE))
 
 
 def _usual(table: dict[int, float], length):

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sdlweave.runtime import spread
+
 VOCABULARY = os.environ.get("SDLWEAVE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: The pre-token pattern of the vocabulary, a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -153,7 +155,7 @@ def _encode_chunks(count: bool, path: str):
 def _encoded(docs: DataFrame, count: bool, key: str, text: str, path: str, chunk: int) -> DataFrame:
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     out, kind = ("n", "int") if count else ("ids", "array<int>")
-    short = rows.filter(F.col("text").isNull() | (F.length("text") <= chunk)).mapInArrow(_whole(count, path), f"doc_id long, {out} {kind}")
+    short = spread(rows.filter(F.col("text").isNull() | (F.length("text") <= chunk))).mapInArrow(_whole(count, path), f"doc_id long, {out} {kind}")
     # a number of their own keeps the chunks of rows with equal or null keys apart
     cut = rows.filter(F.length("text") > chunk).select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
     long = cut.mapInArrow(_cut(chunk), "doc_id long, row long, chunk_no int, head int, tail int, text string").repartition("row", "chunk_no")
