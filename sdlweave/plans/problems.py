@@ -38,9 +38,15 @@ def p6_chains(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """The descendants within the breadth-first forest."""
     return H.descendants(H.hierarchy(table(spark, d, "embedding_documents")))
 
 
+def p6_all_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """The descendants over all links."""
+    return H.all_descendants(table(spark, d, "embedding_documents"))
+
+
 def _triples(spark: SparkSession, d: str) -> DataFrame:
     return N.triples(table(spark, d, "raw_batches"))
 
@@ -138,7 +144,7 @@ anc as (
   select collection, parent as a, v, 1 as dist from par
   union all select anc.collection, par.parent, anc.v, dist + 1 from anc join par on par.collection = anc.collection and par.v = anc.a)"""
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_batches, p3_subgraphs, p3_documents, p3_struct_items, p5_found, p5_report, p6_found, p6_paths, p6_chains, p6_descendants)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_batches, p3_subgraphs, p3_documents, p3_struct_items, p5_found, p5_report, p6_found, p6_paths, p6_chains, p6_descendants, p6_all_descendants)}
 
 SQL = {
     "p3_found": f"""with {_JSON}
@@ -167,4 +173,11 @@ select pth.collection, pth.v as type_name, best.root as root_name, cast(dep.d as
   1 + (select count(*) from anc where anc.collection = pth.collection and anc.a = pth.v) as subtree_size
 from pth join dep on dep.collection = pth.collection and dep.v = pth.v join best on best.collection = pth.collection and best.v = pth.v""",
     "p6_descendants": f"with recursive {_TREE} select collection, a as type_name, v as descendant, cast(dist as integer) as distance from anc",
+    "p6_all_descendants": f"""with recursive {_GRAPH},
+most as (select collection, count(*) as n from nodes group by all),
+walk as (
+  select collection, a, b, 1 as d from e where a <> b
+  union select walk.collection, walk.a, e.b, d + 1 from walk join e on e.collection = walk.collection and e.a = walk.b and e.b <> walk.b
+    join most on most.collection = walk.collection where d < most.n and e.b <> walk.a)
+select collection, a as type_name, b as descendant, cast(min(d) as integer) as distance from walk group by all""",
 }

@@ -151,6 +151,22 @@ def test_long_chain_and_cycles_spread(spark):
     same(H.hierarchy(d).toPandas(), H.hierarchy(d, bound=1).toPandas())
 
 
+def test_all_descendants(spark):
+    """A second parent (D), a rootless cycle (X, Y) and what hangs on it (Z): the forest has none of these pairs."""
+    names = "ABCDXYZ"
+    rows = [(i, "object", v, "x", 0, None, None, None) for i, v in enumerate(names)]
+    rows += [(50 + i, "field", "f", "x", 0, a, b, None) for i, (a, b) in enumerate(["AB", "AC", "BD", "CD", "XY", "YX", "YZ", "ZZ"])]
+    want = {("A", "B", 1), ("A", "C", 1), ("A", "D", 2), ("B", "D", 1), ("C", "D", 1), ("X", "Y", 1), ("X", "Z", 2), ("Y", "X", 1), ("Y", "Z", 1)}
+    d = docs(spark, rows)
+    for bound in (H.BOUND, 1):
+        assert sorted(tuple(r) for r in H.all_descendants(d, bound).collect()) == sorted(("x", *w) for w in want)
+    d = docs(spark, hierarchy_rows(random.Random(9), 600))
+    one, spread = H.all_descendants(d), H.all_descendants(d, bound=40)
+    assert one.count() > 50
+    same(one.toPandas(), spread.toPandas())
+    assert H.all_descendants(d.limit(0)).count() == 0
+
+
 def brute_items(payload):
     def as_list(x):
         return [] if x is None else x if isinstance(x, list) else [x]
