@@ -108,10 +108,11 @@ def used_types(node_rows: DataFrame, keep: str = "path") -> DataFrame:
     return node_rows.select(keep, F.col("base_type").alias("name"), usage.alias("usage")).filter(F.col("usage").isNotNull() & F.col("name").isNotNull()).distinct()
 
 
-def lint(node_rows: DataFrame, enabled: Iterable[str] | None = None, keep: str = "path") -> DataFrame:
+def lint(node_rows: DataFrame, enabled: Iterable[str] | None = None, keep: str = "path", within: str | None = None) -> DataFrame:
     """``keep, rule, message, line, column, length`` of all violations of the enabled rules (all by default).
 
-    The one-node rules are a single pass; the usage rules are semi-joins of enums with the types used.
+    The one-node rules are a single pass; the usage rules are semi-joins of enums with the types used in the same
+    text, or in all texts with the same value of ``within``.
     """
     allowed = None if enabled is None else set(enabled)
     on = [r for r in rules() if allowed is None or r.name in allowed]
@@ -120,10 +121,10 @@ def lint(node_rows: DataFrame, enabled: Iterable[str] | None = None, keep: str =
     if on:
         hits = F.filter(F.array(*[F.when(r.when, F.struct(F.lit(r.name).alias("rule"), r.message.alias("message"))) for r in on]), lambda x: x.isNotNull())
         parts.append(node_rows.select(keep, "line", "column", "length", F.explode(hits).alias("h")).select(keep, "h.rule", "h.message", "line", "column", "length"))
-    enums, used = node_rows.filter(_kind("EnumType")), used_types(node_rows, keep)
+    enums, used = node_rows.filter(_kind("EnumType")), used_types(node_rows, within or keep)
     for rule, usage, bad, text in ((USAGE_RULES[0], "input", ~F.col("name").endswith("Input"), "' is used as input and should end with 'Input'"), (USAGE_RULES[1], "output", F.col("name").endswith("Input"), "' ends with 'Input' but is used as output")):
         if allowed is None or rule in allowed:
-            hit = enums.filter(bad).join(used.filter(F.col("usage") == usage), [keep, "name"], "left_semi")
+            hit = enums.filter(bad).join(used.filter(F.col("usage") == usage), [within or keep, "name"], "left_semi")
             parts.append(hit.select(keep, F.lit(rule).alias("rule"), F.concat(F.lit("enum '"), F.col("name"), F.lit(text)).alias("message"), "line", "column", "length"))
     if not parts:
         return node_rows.select(keep, F.lit("").alias("rule"), F.lit("").alias("message"), "line", "column", "length").limit(0)

@@ -133,16 +133,25 @@ def validate_operation(operation: str, sdl: str | None) -> list[str]:
     Covered rules: unknown fields, leaf and composite selections, unknown and missing arguments, unknown fragments and
     variables, unknown variable types, literals of the wrong scalar or enum, several anonymous operations.
     """
+    return validate_operations([operation], sdl)[0]
+
+
+def validate_operations(operations: list[str], sdl: str | None) -> list[list[str]]:
+    """The messages of each operation; the schema is read once."""
     try:
-        defs = parse(operation)
+        schema = Schema(parse(sdl)) if sdl else None
     except SyntaxProblem as e:
-        return [e.message]
-    if not sdl:
-        return []
+        schema = e.message
+    return [_operation(o, schema) for o in operations]
+
+
+def _operation(operation: str, schema: Schema | str | None) -> list[str]:
     try:
-        schema = Schema(parse(sdl))
+        defs = parse(operation)
     except SyntaxProblem as e:
         return [e.message]
+    if not isinstance(schema, Schema):
+        return [schema] if schema else []
     out: list[str] = []
     fragments = {d.name: d for d in defs if d.kind == "Fragment"}
     operations = [d for d in defs if d.kind == "Operation"]
