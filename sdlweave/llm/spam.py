@@ -56,7 +56,7 @@ EXTREME = 0.7
 GREATER_PART, LEAST_CHARS = 0.5, 80
 #: The usual ratio of a length is this quantile of the corpus' prose blocks: spam can't move it while it is under three quarters.
 USUAL, LEAST_PROSE = 0.75, 32
-#: A language with fewer documents takes the ratio of all.
+#: Documents of all languages that weigh in each language's factor: with few of its own it is close to 1.
 LEAST_DOCS = 100
 LANGUAGES = ("en", "de", "fr", "es", "ja")
 
@@ -181,6 +181,11 @@ def _usual(table: dict[int, float], length):
     return a + (b - a) * (x - low)
 
 
+def _factor(own: float, count: int) -> float:
+    """A language's factor from its own and the 1 of all, by its count of documents."""
+    return (own * count + LEAST_DOCS) / (count + LEAST_DOCS)
+
+
 def spam(docs: DataFrame) -> DataFrame:
     """``doc_id, share, redundancy`` of the documents that are spam.
 
@@ -193,7 +198,7 @@ def spam(docs: DataFrame) -> DataFrame:
     off = F.col("prose_ratio") / _usual(by_length, F.col("prose"))
     by_lang = {r["lang"]: (r["m"], r["n"]) for r in prose.rollup("lang").agg(F.percentile_approx(off, 0.5).alias("m"), F.count(F.lit(1)).alias("n")).collect()}  # a row a language, and one for all
     centre = by_lang.get(None, (1.0, 0))[0] or 1.0
-    factors = {k: m / centre for k, (m, n) in by_lang.items() if k is not None and n >= LEAST_DOCS}
+    factors = {k: _factor(m / centre, n) for k, (m, n) in by_lang.items() if k is not None}
     factor = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in factors.items() for x in kv]), F.col("lang")), F.lit(1.0)) if factors else F.lit(1.0)
     redundancy = F.when(F.col("block") > 0, F.col("ratio") / (_usual(by_length, F.col("block")) * factor))
     confirmed = F.when((redundancy <= EXTREME) & (F.col("block") >= LEAST_CHARS), F.col("phrase")).otherwise(0)

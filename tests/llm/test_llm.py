@@ -334,3 +334,9 @@ def test_a_third_of_spam_does_not_move_the_usual_ratio(spark):
     rows = [(i, page() if i % 3 == 0 else HEAD + "".join(f"    {line()}\n" for _ in range(12)), "en") for i in range(120)]
     got = sorted(r["doc_id"] for r in S.spam(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect())
     assert got == [i for i in range(120) if i % 3 == 0]
+
+
+def test_language_factor_has_no_switch():
+    got = [S._factor(0.6, n) for n in range(0, 5000)]
+    assert got[0] == 1 and abs(got[-1] - 0.6) < 0.01
+    assert all(0 <= a - b < 0.005 for a, b in zip(got, got[1:]))
