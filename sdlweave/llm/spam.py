@@ -46,6 +46,7 @@ _DECOR = re.compile(r"(?:!{2,}|>{2,}|→|[★✔💯🔥☆✓•·|/,;~–—-]
 _BULLET = re.compile(r"^\s*(?:[-*+•]|\d+[.)])\s+")
 _KEYED = re.compile(r"^\s*[\w-]+[\s:=]+[\"']")
 _COUNT = re.compile(r"\d+ file")
+_VERSION = re.compile(r"\s*\d+(?:\.\d+)+")
 _STAMP = re.compile(r"\d{4}-\d\d-\d\d|\d\d:\d\d")
 
 #: Most words of anchor text beside a link, share of a line's characters in tags, least words of a phrase line.
@@ -73,11 +74,12 @@ def body(text: str) -> list[tuple[str, bool]]:
     """Lines of message and changes, and whether they are new; headers, subject, file headers and hunk marks are left out."""
     out: list[tuple[str, bool]] = []
     in_diff = subject = mail = False
-    for line in text.splitlines():
+    lines = text.splitlines()
+    for i, line in enumerate(lines):
         if _FILE.match(line) or line.startswith("@@"):
             in_diff = True
         elif in_diff:
-            if line[:2] == "--" and line.rstrip() == "--":
+            if line[:2] == "--" and line.rstrip() == "--" and _signed(lines[i + 1 :]):
                 break
             out.append((line[1:] if line[:1] in "+- " else line, line[:1] == "+"))
         else:
@@ -92,6 +94,12 @@ def body(text: str) -> list[tuple[str, bool]]:
     return out
 
 
+def _signed(rest: list[str]) -> bool:
+    """Whether what follows ``--`` ends the text as a mail's signature: a version line, and no more of a diff."""
+    rest = [x for x in rest if x.strip()]
+    return not rest or bool(_VERSION.match(rest[0])) and not any(x.startswith(("+", "@@")) or _FILE.match(x) for x in rest[1:])
+
+
 def kind(line: str) -> tuple[str, str]:
     """What a line is built of: sentence, code, link, tag, phrase or none, and its bare words."""
     s = line.strip()

@@ -340,3 +340,11 @@ def test_language_factor_has_no_switch():
     got = [S._factor(0.6, n) for n in range(0, 5000)]
     assert got[0] == 1 and abs(got[-1] - 0.6) < 0.01
     assert all(0 <= a - b < 0.005 for a, b in zip(got, got[1:]))
+
+
+def test_only_a_signature_ends_a_diff():
+    diff = "subject\n\n@@ -1,3 +1,3 @@\n-a\n--\n+one\n+two\n"
+    assert [x for x, new in S.body(diff) if new][-2:] == ["one", "two"]
+    assert S.body(diff + "-- \n2.39.1\n") == S.body(diff) == S.body(diff + "--\n2.39.1 (x)\n\n")
+    assert S.body(diff + "--\n2.39.1\n@@ -9 +9 @@\n+three\n")[-1] == ("three", True)
+
