@@ -348,3 +348,12 @@ def test_only_a_signature_ends_a_diff():
     assert S.body(diff + "-- \n2.39.1\n") == S.body(diff) == S.body(diff + "--\n2.39.1 (x)\n\n")
     assert S.body(diff + "--\n2.39.1\n@@ -9 +9 @@\n+three\n")[-1] == ("three", True)
 
+
+def test_a_first_piece_of_one_member_is_shared():
+    spans = [(0, 55), (56, 70), (71, 85), (86, 99), (100, 140)]
+    got = P.pack(5, spans, 100, 0.5, [9.0, 0.0, 0.0, 1.0])
+    assert got[0] == (0, 0) and got[-1][1] == 4
+    for (_, last), (first, end) in zip(got, got[1:]):
+        assert first == last < end  # these fit together everywhere
+    assert P.pack(5, [(0, 90), (91, 99)], 98, 0.5, [1.0]) == [(0, 0), (1, 1)]
+
