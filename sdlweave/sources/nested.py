@@ -10,6 +10,7 @@ foreign keys: a parent's key is a prefix of its children's.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,8 +35,73 @@ def _strict(_: str):
     raise ValueError("not JSON")
 
 
+class _Digits(str):
+    """An integer with more digits than ``int`` reads."""
+
+
+def _int(text: str):
+    return int(text) if len(text) <= 4000 else _Digits(text)
+
+
+_SCALAR = json.JSONDecoder(parse_constant=_strict, parse_int=_int)
+_BLANK = re.compile(r"[ \t\n\r]*")
+
+
 def _load(text: str):
-    return json.loads(text, parse_constant=_strict)
+    try:
+        return json.loads(text, parse_constant=_strict, parse_int=_int)
+    except RecursionError:
+        return _load_deep(text)
+
+
+def _load_deep(text: str):
+    """The same with a stack of its own, for any depth."""
+    skip = lambda i: _BLANK.match(text, i).end()
+    top: list = []
+    stack: list = [top]  # containers that are open; an object's pending key lies in keys
+    keys: list = [None]
+    at, want = skip(0), "value"
+    while True:
+        c = text[at : at + 1]
+        if want == "value" and c in ("{", "["):
+            new: dict | list = {} if c == "{" else []
+            _put(stack[-1], keys[-1], new)
+            stack.append(new)
+            keys.append(None)
+            at = skip(at + 1)
+            closing = "}" if c == "{" else "]"
+            want = "end" if text[at : at + 1] == closing else "key" if c == "{" else "value"
+        elif want == "key":
+            if c != '"':
+                raise ValueError("key expected")
+            keys[-1], at = _SCALAR.raw_decode(text, at)
+            at = skip(at)
+            if text[at : at + 1] != ":":
+                raise ValueError("colon expected")
+            at, want = skip(at + 1), "value"
+        elif want == "value":
+            value, at = _SCALAR.raw_decode(text, at)
+            _put(stack[-1], keys[-1], value)
+            at, want = skip(at), "end"
+        elif len(stack) == 1:
+            if at < len(text):
+                raise ValueError("text after the value")
+            return top[0]
+        elif c == ("}" if isinstance(stack[-1], dict) else "]"):
+            stack.pop()
+            keys.pop()
+            at = skip(at + 1)
+        elif c == ",":
+            at, want = skip(at + 1), "key" if isinstance(stack[-1], dict) else "value"
+        else:
+            raise ValueError("comma or end expected")
+
+
+def _put(into, key, value) -> None:
+    if isinstance(into, dict):
+        into[key] = value
+    else:
+        into.append(value)
 
 
 def triples_of(payload: str | None) -> list[tuple[str, tuple[int, ...], str | None, str]]:
@@ -47,7 +113,7 @@ def triples_of(payload: str | None) -> list[tuple[str, tuple[int, ...], str | No
         return []
     try:
         top = _load(payload)
-    except (ValueError, RecursionError):
+    except ValueError:
         return []
     if not isinstance(top, dict):
         return []
@@ -55,10 +121,10 @@ def triples_of(payload: str | None) -> list[tuple[str, tuple[int, ...], str | No
     work = [("", (), top)]
     while work:
         path, at, v = work.pop()
-        if path in TEXT_PATHS and isinstance(v, str):
+        if path in TEXT_PATHS and isinstance(v, str) and not isinstance(v, _Digits):
             try:
                 v = _load(v)
-            except (ValueError, RecursionError):
+            except ValueError:
                 pass
         if path in LIST_PATHS and v is not None and not isinstance(v, list):
             v = [v]
@@ -70,7 +136,7 @@ def triples_of(payload: str | None) -> list[tuple[str, tuple[int, ...], str | No
         elif v is None:
             out.append((path, at, None, "null"))
         else:
-            out.append((path, at, v if isinstance(v, str) else json.dumps(v), "string" if isinstance(v, str) else "number" if not isinstance(v, bool) else "bool"))
+            out.append((path, at, str(v) if isinstance(v, str) else json.dumps(v), "number" if isinstance(v, _Digits) else "string" if isinstance(v, str) else "number" if not isinstance(v, bool) else "bool"))
     return out
 
 

@@ -5,6 +5,7 @@ import random
 from datetime import datetime, timedelta
 
 import pandas as pd
+import pytest
 from helpers import same
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -151,6 +152,31 @@ def test_long_chain_and_cycles_spread(spark):
     same(H.hierarchy(d).toPandas(), H.hierarchy(d, bound=1).toPandas())
 
 
+json_values = st.recursive(st.none() | st.booleans() | st.integers() | st.text(max_size=4), lambda x: st.lists(x, max_size=3) | st.dictionaries(st.text(max_size=3), x, max_size=3), max_leaves=12)
+
+
+@settings(max_examples=150, deadline=None)
+@given(json_values, st.integers(0, 30), st.sampled_from(["", ",", "]", "}", "1", " "]))
+def test_deep_parser_reads_as_json_does(value, at, mark):
+    text = json.dumps(value, indent=1)
+    text = text[:at] + mark + text[at:]
+    try:
+        want = json.loads(text)
+    except ValueError:
+        with pytest.raises(ValueError):
+            N._load_deep(text)
+    else:
+        assert N._load_deep(text) == want
+
+
+def test_deep_and_long_payloads_keep_their_rows():
+    deep, long = "[" * 25_000 + "]" * 25_000, "9" * 5000
+    for extra, more in ((deep, 0), (long, 1)):
+        got = N.triples_of('{"collection": "c", "design": {"x": 1}, "extra": ' + extra + "}")
+        assert ("collection", (), "c", "string") in got and ("design.x", (), "1", "number") in got
+        assert (("extra", (), long, "number") in got) == bool(more)
+
+
 def test_all_descendants(spark):
     """A second parent (D), a rootless cycle (X, Y) and what hangs on it (Z): the forest has none of these pairs."""
     names = "ABCDXYZ"
