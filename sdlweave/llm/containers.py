@@ -134,3 +134,16 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def containers(docs: DataFrame) -> DataFrame:
     return pack(token_counts(docs))
+
+
+def checks(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """``check_name, n``: documents with a container, containers that are overfull, small texts that were split, pieces out of number."""
+    got = stage(containers(docs))
+    some = lambda name, df: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("check_name"), "n")
+    per = got.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.max("piece_no").alias("last"), F.sum("n_tokens").alias("tokens"))
+    return (
+        some("documents", per)
+        .union(some("overfull", got.groupBy("container").agg(F.sum("n_tokens").alias("t")).filter(F.col("t") > capacity)))
+        .union(some("split_small", per.filter((F.col("tokens") <= capacity) & (F.col("pieces") > 1))))
+        .union(some("unnumbered", per.filter(F.col("last") + 1 != F.col("pieces"))))
+    )

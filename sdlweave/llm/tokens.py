@@ -5,8 +5,10 @@ that are spread over the cluster. Each chunk is pre-tokenised from its own start
 two streams of pre-tokens resynchronise at the first boundary that both have, and from there on they
 agree, since a pre-token depends only on the text to its right. A chunk gives its ids up to that point,
 and how many of its own first ids lie before the point found by the chunk before it; stitching drops those.
-The overlap is chosen to contain a change from a non-space to a space, where every stream has a boundary,
-so a text is only cut where its streams must meet. Decoding concatenates the bytes of the ids.
+The overlap is chosen to contain a change from a non-space to a space, where every stream has a boundary
+whatever it takes for a letter or a number, so a text is only cut where its streams must meet; where none
+follows soon, the chunk goes on. White space is that of the pattern, Unicode's White_Space: the separators
+U+001C to U+001F are none. Decoding concatenates the bytes of the ids.
 """
 
 from __future__ import annotations
@@ -30,7 +32,9 @@ VOCABULARY = os.environ.get("SDLWEAVE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters of a chunk, least overlap, and how far ahead a place to cut is looked for.
 CHUNK, OVERLAP, AHEAD = 32_768, 64, 8_192
-_MEET = re.compile(r"\S(?=\s)")
+#: White space as the pattern has it: Unicode's White_Space, fixed values. ``str.isspace`` has four more.
+SPACES = frozenset("\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+_MEET = re.compile(f"[^{''.join(sorted(SPACES))}](?=[{''.join(sorted(SPACES))}])")
 _encoders: dict = {}
 
 
@@ -70,6 +74,11 @@ def cuts(text: str, chunk: int = CHUNK, ahead: int = AHEAD) -> list[tuple[int, i
 _boundaries = regex.compile(PATTERN)
 
 
+def _meets(text: str, p: int) -> bool:
+    """Whether a non-space changes to a space at ``p``: a boundary of every stream."""
+    return text[p] in SPACES and text[p - 1] not in SPACES
+
+
 def encode_chunk(text: str, head: int, tail: int, path: str = VOCABULARY) -> tuple[list[int], list[int], int, np.ndarray]:
     """Encode one chunk; ``head`` is the length of the overlap at its start, ``tail`` where the one at its end begins.
 
@@ -80,34 +89,29 @@ def encode_chunk(text: str, head: int, tail: int, path: str = VOCABULARY) -> tup
     meet = -1
     if tail < end:
         # the stream of the next chunk, and where this one's passes through it
-        other = {m.end() + tail for m in _boundaries.finditer(text[tail:])} - {end}
-        safe = [p for p in other if not text[p - 1].isspace()]
-        own = {m.end() for m in _boundaries.finditer(text, _restart(text, tail))}
-        meet = min(p for p in safe if p in own)
-        end = meet
+        other = {m.end() + tail for m in _boundaries.finditer(text[tail:])}
+        own = (m.end() for m in _boundaries.finditer(text, _restart(text, tail)))
+        end = meet = next(p for p in own if tail < p < end and p in other and _meets(text, p))
     marks, counts, ids, at = [], [], [], 0
     if head:
         total = 0
-        for m in _boundaries.finditer(text[: min(end, head + AHEAD)]):
-            if m.end() > head:
+        for m in _boundaries.finditer(text[:end]):
+            p = m.end()
+            if p > head:
                 break
-            part = encode(m.group(), path)
-            ids.append(part)
-            total += len(part)
-            at = m.end()
-            if not text[at - 1].isspace():
-                marks.append(at)
+            if p < len(text) and _meets(text, p):
+                ids.append(encode(text[at:p], path))
+                total += len(ids[-1])
+                marks.append(p)
                 counts.append(total)
+                at = p
     ids.append(encode(text[at:end], path))
     return marks, counts, meet - tail if meet >= 0 else -1, np.concatenate(ids)
 
 
 def _restart(text: str, tail: int) -> int:
     """A boundary of every stream at or before ``tail``: the last change from a non-space to a space, or 0."""
-    for p in range(tail, 0, -1):
-        if text[p].isspace() and not text[p - 1].isspace():
-            return p
-    return 0
+    return next((p for p in range(tail, 0, -1) if _meets(text, p)), 0)
 
 
 def _lists(parts: list[np.ndarray], kind=None) -> pa.Array:

@@ -203,6 +203,10 @@ def test_pieces_of_odd_rows(spark):
     assert P.found_pieces(df.limit(0)).count() == 0 == P.pieces(df.limit(0)).count()
 
 
+def test_valleys_of_even_members_take_linear_time():
+    assert max(P.valleys(["x"] * 100_000)) < 1e-9
+
+
 def test_valleys_mark_topics():
     parts = [f"order{w}" for w in ("Id", "Total", "Buyer", "State")] + [f"weather{w}" for w in ("Wind", "Rain", "Sun", "Snow")]
     depth = P.valleys(parts)
@@ -227,6 +231,20 @@ def test_stitched_ids_equal_whole_ids(text, chunk):
     assert got == T.encode(text).tolist() and T.decode(got) == text.encode()
 
 
+@pytest.mark.parametrize("text", ["!\x1c" * 30_000, "word " * 9000 + "\x1c\x1d\x1e\x1f" * 3000 + " word" * 9000, "a\x85b \x1d\x1e " * 20_000, "x\u0378 !" * 30_000, "tail\x1c \x1c" * 12_000])
+def test_separators_that_are_no_space_to_the_pattern(spark, text):
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    for chunk in (T.CHUNK, 1000):
+        assert T.token_ids(df, chunk=chunk).first()["ids"] == T.encode(text).tolist()
+    assert T.token_counts(df).first()["n"] == len(T.encode(text))
+
+
+def test_white_space_is_that_of_the_pattern():
+    import regex
+
+    assert T.SPACES == {chr(c) for c in range(0x110000) if regex.fullmatch(r"\s", chr(c))}
+
+
 def test_ids_of_a_table(spark):
     long = "def f(x):\n    return x  # naïve\n" * 3000
     rows = [(1, None), (2, ""), (3, "a <|endoftext|> b"), (4, long), (5, "x" * 90_000), (6, " " * 70_000), (4, long)]
