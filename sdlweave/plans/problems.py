@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sdlweave.operators import hierarchy as H
 from sdlweave.operators import references as R
-from sdlweave.runtime import table
+from sdlweave.runtime import spread, table
 from sdlweave.sources import nested as N
 
 
@@ -47,24 +47,46 @@ def p6_all_descendants(spark: SparkSession, d: str) -> DataFrame:
     return H.all_descendants(table(spark, d, "embedding_documents"))
 
 
-def _triples(spark: SparkSession, d: str) -> DataFrame:
-    return N.triples(table(spark, d, "raw_batches"))
+def _raw(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "raw_batches"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return N.list_items(_triples(spark, d))
+    return N.list_items(_raw(spark, d))
 
 
 def p3_batches(spark: SparkSession, d: str) -> DataFrame:
-    return N.batches_table(_triples(spark, d))
+    return N.batches_table(_raw(spark, d))
 
 
 def p3_subgraphs(spark: SparkSession, d: str) -> DataFrame:
-    return N.subgraphs_table(_triples(spark, d))
+    return N.subgraphs_table(_raw(spark, d))
 
 
 def p3_documents(spark: SparkSession, d: str) -> DataFrame:
-    return N.documents_table(_triples(spark, d))
+    return N.documents_table(_raw(spark, d))
+
+
+def p3_arguments(spark: SparkSession, d: str) -> DataFrame:
+    return N.arguments_table(_raw(spark, d))
+
+
+def p3_argument_properties(spark: SparkSession, d: str) -> DataFrame:
+    """Everything else that an argument holds outside further lists."""
+    return N.argument_properties(_raw(spark, d))
+
+
+def p3_directives(spark: SparkSession, d: str) -> DataFrame:
+    return N.directives_table(_raw(spark, d))
+
+
+def p3_directive_arguments(spark: SparkSession, d: str) -> DataFrame:
+    return N.directive_arguments(_raw(spark, d))
+
+
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The repeated ancestors that occur, with the paths below them."""
+    return N.groups(N.triples(_raw(spark, d)))
 
 
 def _tagged(name: str) -> Column:
@@ -132,6 +154,13 @@ docs as (select batch_id, subgraph_pos, unnest(l) as d, generate_subscripts(l, 1
 meta as (select batch_id, subgraph_pos, doc_pos, d, case when json_type(m) = 'VARCHAR' then case when json_valid(m->>'$') then (m->>'$')::json end else m end as m from (select *, d->'$.metadata' as m from docs)),
 items as ({" union all ".join(f"select batch_id, subgraph_pos, doc_pos, '{n}' as list_name, unnest(l) as x, generate_subscripts(l, 1) - 1 as item_pos from (select *, {_list(f'(m->' + repr(f'$.{n}') + ')')} as l from meta)" for n in N.ITEM_LISTS)})"""
 
+_SCALAR = "('VARCHAR', 'BIGINT', 'UBIGINT', 'HUGEINT', 'DOUBLE', 'BOOLEAN')"
+_ARGS = f"""{_JSON},
+args as (select batch_id, subgraph_pos, doc_pos, unnest(l) as x, generate_subscripts(l, 1) - 1 as arg_pos from (select *, {_list("(m->'$.arguments')")} as l from meta)),
+dirs as (select batch_id, subgraph_pos, doc_pos, arg_pos, unnest(l) as y, generate_subscripts(l, 1) - 1 as directive_pos from (select *, json_extract(x, '$.directives[*]') as l from args where json_type(x) = 'OBJECT')),
+vals as (select batch_id, subgraph_pos, doc_pos, arg_pos, directive_pos, unnest(l) as z, generate_subscripts(l, 1) - 1 as value_pos from (select *, json_extract(y, '$.args[*]') as l from dirs where json_type(y) = 'OBJECT'))"""
+_POS = "subgraph_pos::integer as subgraph_pos, doc_pos::integer as doc_pos, arg_pos::integer as arg_pos"
+
 _TREE = f"""{_GRAPH},
 par as (
   select e.collection, e.b as v, min(e.a) as parent from e
@@ -144,7 +173,7 @@ anc as (
   select collection, parent as a, v, 1 as dist from par
   union all select anc.collection, par.parent, anc.v, dist + 1 from anc join par on par.collection = anc.collection and par.v = anc.a)"""
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_batches, p3_subgraphs, p3_documents, p3_struct_items, p5_found, p5_report, p6_found, p6_paths, p6_chains, p6_descendants, p6_all_descendants)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_batches, p3_subgraphs, p3_documents, p3_arguments, p3_argument_properties, p3_directives, p3_directive_arguments, p3_groups, p3_struct_items, p5_found, p5_report, p6_found, p6_paths, p6_chains, p6_descendants, p6_all_descendants)}
 
 SQL = {
     "p3_found": f"""with {_JSON}
@@ -155,6 +184,20 @@ from items where json_type(x) <> 'NULL'""",
     "p3_subgraphs": f"with {_JSON} select batch_id, subgraph_pos::integer as subgraph_pos, s->>'$.name' as name, s->>'$.routing_url' as routing_url from subs where json_type(s) = 'OBJECT'",
     "p3_documents": f"""with {_JSON} select batch_id, subgraph_pos::integer as subgraph_pos, doc_pos::integer as doc_pos, d->>'$.id' as id, d->>'$.type' as type, d->>'$.name' as name, d->>'$.description' as description,
   m->>'$.parentType' as parent_type, m->>'$.fieldType' as field_type, m->>'$.kind' as kind from meta where json_type(d) = 'OBJECT'""",
+    "p3_arguments": f"""with {_ARGS} select batch_id, {_POS}, case when json_type(x) = 'OBJECT' then x->>'$.name' else x->>'$' end as name,
+  case when json_type(x->'$.type') in {_SCALAR} then x->>'$.type' end as type, x->>'$.type.kind' as type_kind, x->>'$.type.name' as type_name, x->>'$.description' as description
+from args where json_type(x) not in ('NULL', 'ARRAY')""",
+    "p3_argument_properties": f"""with recursive {_ARGS},
+props as (
+  select batch_id, subgraph_pos, doc_pos, arg_pos, unnest(json_keys(x)) as property, x as holder from args where json_type(x) = 'OBJECT'),
+walk as (
+  select batch_id, subgraph_pos, doc_pos, arg_pos, property, json_extract(holder, '$.' || property) as v from props
+  union all
+  select batch_id, subgraph_pos, doc_pos, arg_pos, property || '.' || k, json_extract(v, '$.' || k) from (select *, unnest(json_keys(v)) as k from walk where json_type(v) = 'OBJECT'))
+select batch_id, {_POS}, property, v->>'$' as value, case json_type(v) when 'VARCHAR' then 'string' when 'NULL' then 'null' when 'BOOLEAN' then 'bool' else 'number' end as kind
+from walk where json_type(v) not in ('OBJECT', 'ARRAY')""",
+    "p3_directives": f"with {_ARGS} select batch_id, {_POS}, directive_pos::integer as directive_pos, y->>'$.name' as name from dirs where json_type(y) = 'OBJECT'",
+    "p3_directive_arguments": f"with {_ARGS} select batch_id, {_POS}, directive_pos::integer as directive_pos, value_pos::integer as value_pos, z->>'$.name' as name, z->>'$.value' as value from vals where json_type(z) = 'OBJECT'",
     "p3_struct_items": """
 select row_id, list_name, cast(i - 1 as integer) as item_pos, item from (
   select row_id, 'arguments' as list_name, generate_subscripts(l, 1) as i, unnest(list_transform(l, lambda x: case when x is not null then coalesce(x.name, '') end)) as item from (select row_id, metadata.arguments as l from embedding_documents)

@@ -10,6 +10,8 @@ from helpers import same
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from sdlweave.operators import hierarchy as H
 from sdlweave.operators import references as R
 from sdlweave.operators.components import components
@@ -155,26 +157,99 @@ def test_long_chain_and_cycles_spread(spark):
 json_values = st.recursive(st.none() | st.booleans() | st.integers() | st.text(max_size=4), lambda x: st.lists(x, max_size=3) | st.dictionaries(st.text(max_size=3), x, max_size=3), max_leaves=12)
 
 
-@settings(max_examples=150, deadline=None)
-@given(json_values, st.integers(0, 30), st.sampled_from(["", ",", "]", "}", "1", " "]))
-def test_deep_parser_reads_as_json_does(value, at, mark):
+def rebuilt(text):
+    """The value that the events of a text describe."""
+    stack, keys = [[]], [None]
+
+    def put(v):
+        if isinstance(stack[-1], dict):
+            stack[-1][keys[-1]] = v
+        else:
+            stack[-1].append(v)
+
+    for kind, v in N.events(text):
+        if kind == "key":
+            keys[-1] = v
+        elif kind in "{[":
+            new = {} if kind == "{" else []
+            put(new)
+            stack.append(new)
+            keys.append(None)
+        elif kind in "}]":
+            stack.pop()
+            keys.pop()
+        else:
+            put(v if kind in ("string", "null") else json.loads(v))
+    return stack[0][0]
+
+
+@settings(max_examples=300, deadline=None)
+@given(json_values, st.integers(0, 30), st.sampled_from(["", ",", "]", "}", "1", " ", ":", '"', "\\", "\x01"]))
+def test_events_read_as_json_does(value, at, mark):
     text = json.dumps(value, indent=1)
     text = text[:at] + mark + text[at:]
     try:
         want = json.loads(text)
     except ValueError:
         with pytest.raises(ValueError):
-            N._load_deep(text)
+            rebuilt(text)
     else:
-        assert N._load_deep(text) == want
+        assert rebuilt(text) == want
+
 
+def leaves(value, path=(), at=()):
+    """Brute force: ancestor and step as tuples, ordinals and value of every scalar."""
+    if isinstance(value, dict):
+        return [x for k, v in value.items() for x in leaves(v, (*path, k), at)]
+    if isinstance(value, list):
+        return [x for i, v in enumerate(value) for x in leaves(v, (*path, None), (*at, i))]
+    return [(path, at, value if isinstance(value, str) or value is None else json.dumps(value))]
 
-def test_deep_and_long_payloads_keep_their_rows():
-    deep, long = "[" * 25_000 + "]" * 25_000, "9" * 5000
-    for extra, more in ((deep, 0), (long, 1)):
-        got = N.triples_of('{"collection": "c", "design": {"x": 1}, "extra": ' + extra + "}")
-        assert ("collection", (), "c", "string") in got and ("design.x", (), "1", "number") in got
-        assert (("extra", (), long, "number") in got) == bool(more)
+
+@settings(max_examples=200, deadline=None)
+@given(st.dictionaries(st.text(max_size=3), json_values, max_size=4))
+def test_triples_hold_every_scalar(value):
+    paths, got = N.Paths(), []
+    for ancestor, step, at, v, kind in N.triples_of(json.dumps(value), paths):
+        if kind not in ("object", "list"):
+            got.append((ancestor, step, tuple(at), v))
+    want = []
+    for path, at, v in leaves(value):
+        last = max((i for i, s in enumerate(path) if s is None), default=-1) + 1
+        want.append((N._written(list(path[:last])), N._written(list(path[last:])), at, v))
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_any_depth_and_any_number_is_read(spark):
+    n = 50_000
+    head = '{"collection": "c", "design": {"subgraphs": [{"documents": [{"metadata": {"fields": ["a"]}}]}]}, "x": '
+    deep = [head + "[" * n + "]" * n + "}", head + '{"k":' * n + "1" + "}" * n + "}", head + "9" * 10_000 + "}", head + "[{" * 3 + "}"]
+    text = json.dumps('{"fields": ["a"], "x": ' + '{"k":[' * n + "]}" * n + "}")
+    deep.append('{"collection": "c", "design": {"subgraphs": [{"documents": [{"metadata": ' + text + "}]}]}}")
+    raw = spark.createDataFrame(list(enumerate(deep)), "batch_id long, payload string")
+    assert sorted(tuple(r) for r in N.list_items(raw).collect()) == [(i, 0, 0, "fields", 0, "a") for i in (0, 1, 2, 4)]
+    assert N.batches_table(raw).filter("collection = 'c'").count() == 4
+    assert N.triples(raw, ["x"]).filter("step = 'x' and kind = 'number'").first()["value"] == "9" * 10_000
+
+
+def test_repeated_keys_and_rows(spark):
+    raw = spark.createDataFrame([(1, '{"collection": "a", "collection": "b", "design": {"subgraphs": 1}, "design": {"subgraphs": {"name": "s"}}}')] * 2 + [(2, '{"collection": "x"}'), (2, '{"collection": "y"}'), (None, '{"collection": "z"}')], "batch_id long, payload string")
+    assert sorted((r["batch_id"] or 0, r["collection"]) for r in N.batches_table(raw).collect()) == [(0, "z"), (1, "b"), (2, "x"), (2, "y")]
+    assert [tuple(r) for r in N.subgraphs_table(raw).collect()] == [(1, 0, "s", None)]
+
+
+def test_tables_of_all_groups(spark, data):
+    raw = spark.read.parquet(f"{data}/raw_batches.parquet")
+    got = N.tables(raw)
+    arg = got["design.subgraphs[].documents[].metadata.arguments[]"]
+    assert {"name", "type", "description", "type.kind", "batch_id", "pos_3"} <= set(arg.columns)
+    assert arg.filter("_kind = 'object'").count() == N.arguments_table(raw).join(arg.select("batch_id", F.col("pos_1").alias("subgraph_pos"), F.col("pos_2").alias("doc_pos"), F.col("pos_3").alias("arg_pos"), "_kind").filter("_kind = 'object'"), ["batch_id", "subgraph_pos", "doc_pos", "arg_pos"], "left_semi").count()
+    assert got["*"].count() == 0
+    few = N.tables(raw, columns=3, most=2)
+    assert len(few) == 3 and few["*"].count() > 0
+    directives, values = N.directives_table(raw), N.directive_arguments(raw)
+    keys = ["batch_id", "subgraph_pos", "doc_pos", "arg_pos"]
+    assert directives.join(N.arguments_table(raw), keys, "left_anti").count() == 0 == values.join(directives, [*keys, "directive_pos"], "left_anti").count()
 
 
 def test_all_descendants(spark):
@@ -224,17 +299,16 @@ def test_nested_items_brute_force(spark, data):
     payloads += ['{"design": {"subgraphs": [null, {"documents": [null, 5, {"metadata": "{\\"fields\\": [\\"x\\", null, \\"y\\"]}"}]}], "sub.graphs": [1]}}', '{"design": {"subgraphs": [{"documents": [{"metadata": "not json"}]}]}}', '{"a": NaN}', '{"a":' * 5000]
     payloads.append(json.dumps({"design": {"subgraphs": [{"documents": [{"metadata": {"fields": [f"f{i}" * 200 for i in range(3000)]}}]}]}}))
     raw = spark.createDataFrame([(i, p, i) for i, p in enumerate([*payloads, payloads[0]])], "batch_id long, payload string, path int")
-    got = N.list_items(N.triples(raw)).toPandas()
+    got = N.list_items(raw).toPandas()
     want = pd.DataFrame([(i, *x) for i, p in enumerate([*payloads, payloads[0]]) for x in brute_items(p)], columns=got.columns)
     same(got, want)
-    t = N.triples(raw)
-    assert N.batches_table(t).count() <= len(payloads)
-    parents = N.documents_table(t).select("batch_id", "subgraph_pos", "doc_pos").distinct()
-    items = N.list_items(t).select("batch_id", "subgraph_pos", "doc_pos").distinct()
+    assert N.batches_table(raw).count() <= len(payloads)
+    parents = N.documents_table(raw).select("batch_id", "subgraph_pos", "doc_pos").distinct()
+    items = N.list_items(raw).select("batch_id", "subgraph_pos", "doc_pos").distinct()
     assert items.join(parents, ["batch_id", "subgraph_pos", "doc_pos"], "left_anti").count() == 0
-    subs = N.subgraphs_table(t).select("batch_id", "subgraph_pos")
+    subs = N.subgraphs_table(raw).select("batch_id", "subgraph_pos")
     assert parents.join(subs, ["batch_id", "subgraph_pos"], "left_anti").count() == 0
-    assert N.list_items(N.triples(raw.limit(0))).count() == 0
+    assert N.list_items(raw.limit(0)).count() == 0
 
 
 def test_components(spark):
