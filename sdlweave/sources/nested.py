@@ -110,7 +110,7 @@ class Paths:
         self.step: list[str | None] = [""]
         self.kids: dict[tuple[int, str | None], int] = {}
         self._text: dict[int, tuple[str, str]] = {}
-        self.closed = False
+        self.closed, self.inside = False, set()
         self.lists, self.texts = ({self._insert(p) for p in some} for some in (LIST_PATHS, TEXT_PATHS))
         self.keep = None if wanted is None else {self._insert(p) for p in wanted}
         self.inside = {self._insert(p) for p in below}
