@@ -11,16 +11,16 @@ from sdlweave.runtime import spread, table
 from sdlweave.sources import nested as N
 
 
-def _orphans(spark: SparkSession, d: str) -> DataFrame:
-    return R.orphan_references(table(spark, d, "embedding_documents"), table(spark, d, "removals"), table(spark, d, "builtin_types"))
+def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return tuple(table(spark, d, n) for n in ("embedding_documents", "removals", "builtin_types"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return _orphans(spark, d).select("row_id", "ref_field", "ref_name", "status")
+    return R.orphan_references(*_sides(spark, d)).select("row_id", "ref_field", "ref_name", "status")
 
 
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
-    return R.orphan_report(_orphans(spark, d))
+    return R.orphan_report(*_sides(spark, d))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

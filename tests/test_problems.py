@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 
 from pyspark.sql import functions as F
 
+from sdlweave.functions import bitmaps as B
 from sdlweave.operators import hierarchy as H
 from sdlweave.operators import references as R
 from sdlweave.operators.components import components
@@ -65,11 +66,27 @@ def test_orphans_brute_force(spark):
     want = brute_orphans(rows, removals, {"Int"})
     found = [tuple(r) for r in got.select("row_id", "ref_field", "ref_name", "status").collect()]
     assert len(found) == len(set(found)) and set(found) == want
-    assert R.orphan_report(got).agg({"n_refs": "sum"}).first()[0] == len(want)
+    report = R.orphan_report(d, gone, builtin).collect()
+    month = lambda h: None if h is None else (T0 + timedelta(hours=h)).strftime("%Y-%m")
+    of = {r[0]: r for r in rows}
+    groups = {}
+    for i, field, name, status in want:
+        groups.setdefault((of[i][3], month(of[i][4]), field, status), []).append(name)
+    assert {tuple(r) for r in report} == {(*k, len(v), len(set(v))) for k, v in groups.items()} and len(report) == len(groups)
     assert R.orphan_references(d.limit(0), gone, builtin).count() == 0
     assert R.orphan_references(d, gone.limit(0), builtin.limit(0)).count() > 0
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.one_of(st.lists(st.integers(0, 65_535), max_size=200), st.tuples(st.integers(0, 60_000), st.integers(1, 5000), st.integers(1, 3)).map(lambda x: range(x[0], x[0] + x[1], x[2])), st.just(range(0, 65_536, 2))), st.lists(st.integers(0, 65_535), max_size=200))
+def test_bitmaps(a, b):
+    a, b = sorted({x for x in a if x < B.RANGE}), sorted(set(b))
+    data, other = B.encode(a), B.encode(b)
+    assert B.decode(data).tolist() == a and len(data) <= 8193
+    assert B.decode(B.and_not(data, other)).tolist() == sorted(set(a) - set(b)) == B.decode(B.and_not(data, B.encode(b))).tolist()
+    assert B.decode(B.both(data, other)).tolist() == sorted(set(a) & set(b)) and B.decode(None).tolist() == []
+
+
 def brute_hierarchy(nodes, links):
     n = sorted(nodes)
     out = {v: sorted({b for a, b in links if a == v and b in nodes}) for v in n}
