@@ -1,12 +1,13 @@
 """Keyword-stuffed and link-list pages (problem 9) by block-wise compression ratio.
 
 A document is reduced to its body: commit header, subject, file headers and hunk marks are left out. Disguises
-are undone (zero-width characters, letters set apart by dots, digits for letters). The body's lines fall
-into blocks by what they are built of: sentences, code or data, links with a short anchor, runs of tags,
-and plain phrases without sentence punctuation. The phrase block is compressed; its ratio is
-compared with the ratio usual for its length and language, which is a statistic over the whole corpus. A block far
-below it is extremely redundant; low sentence punctuation confirms it. A document is a case when links, tags and
-confirmed phrases make up the greater part of its body.
+are undone (zero-width characters, letters set apart by dots, digits for letters). The body's lines are sorted
+by their form alone: sentences, code or data, links with a short anchor, runs of tags, and plain phrases. Two
+blocks are compressed, the listing (links and tags, as they stand) and the phrases (their words). Each ratio is compared
+with the ratio usual for its length and language, which is a statistic over the whole corpus: a listing must be no less
+redundant than text usually is, phrases extremely redundant. Either counts only if the text of the document is
+poor in sentence punctuation, measured as sentence ends a word. A document is a case when what
+passes both tests makes up the greater part of its body; no line counts by its form alone.
 """
 
 from __future__ import annotations
@@ -29,13 +30,13 @@ _LEET = str.maketrans("013457@$", "oieastas")
 _MIXED = re.compile(r"(?<![\w./@$-])(?:[a-zA-Z]+[013457@$]|[013457@$]+[a-zA-Z])[a-zA-Z013457@$]*(?![\w./@$-])")
 _HEADER = re.compile(r"(?:commit [0-9a-f]{7,}|From [0-9a-f]{40} |Author: |AuthorDate: |Commit: |CommitDate: |Date: |From: |Merge: |Subject: |by \S+ in \S+/\S+\s*$|(?:Co-authored|Signed-off|Reviewed)-by: )")
 _FILE = re.compile(r"(?:diff --git |index [0-9a-f]+\.\.|--- (?:a/|/dev/null)|\+\+\+ (?:b/|/dev/null)|(?:new|deleted) file mode |old mode |new mode |similarity index |rename |copy |Binary files |GIT binary patch)")
-#: Endings by which a name without scheme counts as a host; short ones only with a path. Fixed values.
-_ENDS = "invalid|test|example|com|net|org|info|biz|shop|store|online|site|xyz|top|club|live|click|link|app|dev"
-_URL = re.compile(rf"(?:https?://|www\.)[^\s<>\"')\]]+|(?<![\w./@-])[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:(?:{_ENDS})(?![\w.-])|[a-z]{{2}}(?=/))(?:/[^\s<>\"')\]]*)?", re.I)
+#: With a scheme, or a name with a path.
+_URL = re.compile(r"(?:https?://|www\.)[^\s<>\"')\]]+|(?<![\w./@-])[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}(?=/)[^\s<>\"')\]]*", re.I)
 _TAG = re.compile(r"(?<![\w&/])#[^\W\d_]\w*")
 _MARKUP = re.compile(r"</?[a-zA-Z][^>]*>|\[|\]\(|\)|&\w+;")
 _META = re.compile(r"<meta\b[^>]*\bcontent=[\"']?([^\"'>]*)", re.I)
-_LABEL = re.compile(r"^\s*(?:tags?|keywords?|labels?|schlagw\w+|mots[- ]cl\w+|etiquetas?|タグ)\s*[:：]\s*", re.I)
+#: A word or two and a colon before a list.
+_LABEL = re.compile(r"^\s*[^\W\d_]+(?:[ -][^\W\d_]+)?\s*[:：]\s*(?=[^,;、|]*(?:[,;、|][^,;、|]+){2})")
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[^\W\d_]{2,}[\"')\]]*[.!?。！？](?=\s|$|[\"')\]])|[。！？]")
 _CODE = re.compile(r"""[{}();=<>\\`$@^*_\[\]]|[\w"'\])]:\s|\w:$|::|->|=>|//|^\s*(?:\#|--)\s""")
@@ -51,8 +52,10 @@ _STAMP = re.compile(r"\d{4}-\d\d-\d\d|\d\d:\d\d")
 
 #: Most words of anchor text beside a link, share of a line's characters in tags, least words of a phrase line.
 ANCHOR_WORDS, TAG_SHARE, PHRASE_WORDS = 8, 0.6, 2
-#: A block is extreme if its ratio is at most this share of the usual one for its length and language.
-EXTREME = 0.7
+#: Most of the usual ratio of its length and language that a block of phrases and a listing of links and tags may have.
+EXTREME, REDUNDANT = 0.7, 1.1
+#: Most sentence ends a word of the document's text, links aside: one in 20 words, where prose has about one in 12.
+DENSITY = 0.05
 #: Part of the body that must be links, tags or confirmed phrases; least characters of these and of a block.
 GREATER_PART, LEAST_CHARS = 0.5, 80
 #: The usual ratio of a length is this quantile of the corpus' prose blocks: spam can't move it while it is under three quarters.
@@ -141,27 +144,37 @@ def _ratio(lines: list[str]) -> tuple[float, int]:
     return ((len(zlib.compress(block, 6)) - 8) / len(block) if block else 1.0), len(block)
 
 
-def profile(text: str) -> tuple[int, int, int, int, float, int, float, int]:
-    """Characters of the body, its links, tags and phrases; ratio and bytes of the phrase block and of all prose."""
+def profile(text: str) -> tuple:
+    """Characters of the body and of its links, tags and phrases; ratio and bytes of the listing, the phrases and all prose; sentence ends and words."""
     chars: Counter = Counter()
+    listing: list[str] = []
     phrases: list[str] = []
     prose: list[str] = []
+    ends = count = 0
     for line, new in body(plain(text)):
         k, words = kind(line)
-        chars[k] += len(line.strip())
-        if new and k == "phrase":
-            phrases.append(words)
-        if new and k in ("phrase", "sentence"):
-            prose.append(line.strip())
-    return sum(chars.values()), chars["link"], chars["tag"], chars["phrase"], *_ratio(phrases), *_ratio(prose)
+        s = line.strip()
+        chars[k] += len(s)
+        if k in ("none", "code") or not new:
+            continue
+        if k in ("link", "tag"):
+            listing.append(s)
+        else:
+            prose.append(s)
+            if k == "phrase":
+                phrases.append(words)
+        text_only = _URL.sub(" ", s) if "." in s else s
+        ends += len(_SENTENCE.findall(text_only)) if _STOPS.search(text_only) else 0
+        count += len(_WORD.findall(s))
+    return sum(chars.values()), chars["link"], chars["tag"], chars["phrase"], *_ratio(listing), *_ratio(phrases), *_ratio(prose), ends, count
 
 
-_COLUMNS = ["body", "link", "tag", "phrase", "ratio", "block", "prose_ratio", "prose"]
-_SHAPE = "doc_id long, lang string, body long, link long, tag long, phrase long, ratio double, block long, prose_ratio double, prose long"
+_COLUMNS = {"body": "long", "link": "long", "tag": "long", "phrase": "long", "list_ratio": "double", "list_block": "long", "ratio": "double", "block": "long", "prose_ratio": "double", "prose": "long", "ends": "long", "words": "long"}
+_SHAPE = "doc_id long, lang string, " + ", ".join(f"{n} {k}" for n, k in _COLUMNS.items())
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.int64()]
+    kinds = [pa.float64() if k == "double" else pa.int64() for k in _COLUMNS.values()]
     for whole in batches:
         for at in range(0, whole.num_rows, 500):
             b = whole.slice(at, 500)
@@ -195,10 +208,10 @@ def _factor(own: float, count: int) -> float:
 
 
 def spam(docs: DataFrame) -> DataFrame:
-    """``doc_id, share, redundancy`` of the documents that are spam.
+    """``doc_id, share, redundancy, listing, density`` of the documents that are spam.
 
-    ``share`` is the part of the body made of links, tags and confirmed phrases, ``redundancy`` the phrase
-    block's ratio over the usual one. Null, empty and blank texts are none.
+    ``share`` is the part of the body in confirmed links, tags and phrases, ``redundancy`` and ``listing`` the ratios of
+    the phrases and of the listing over the usual ones, ``density`` the sentence ends a word. Null, empty and blank texts are none.
     """
     p = profiles(docs)
     prose = p.filter(F.col("prose") >= LEAST_PROSE)
@@ -208,7 +221,9 @@ def spam(docs: DataFrame) -> DataFrame:
     centre = by_lang.get(None, (1.0, 0))[0] or 1.0
     factors = {k: _factor(m / centre, n) for k, (m, n) in by_lang.items() if k is not None}
     factor = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in factors.items() for x in kv]), F.col("lang")), F.lit(1.0)) if factors else F.lit(1.0)
-    redundancy = F.when(F.col("block") > 0, F.col("ratio") / (_usual(by_length, F.col("block")) * factor))
-    confirmed = F.when((redundancy <= EXTREME) & (F.col("block") >= LEAST_CHARS), F.col("phrase")).otherwise(0)
-    found = F.col("link") + F.col("tag") + confirmed
-    return p.withColumns({"redundancy": redundancy, "found": found}).filter((F.col("found") >= LEAST_CHARS) & (F.col("found") > GREATER_PART * F.col("body"))).select("doc_id", (F.col("found") / F.col("body")).alias("share"), "redundancy")
+    over = lambda ratio, block: F.when(F.col(block) > 0, F.col(ratio) / (_usual(by_length, F.col(block)) * factor))
+    measured = p.withColumns({"redundancy": over("ratio", "block"), "listing": over("list_ratio", "list_block"), "density": F.col("ends") / F.greatest(F.col("words"), F.lit(1))})
+    held = lambda measure, most, block, chars: F.when((F.col(measure) <= most) & (F.col(block) >= LEAST_CHARS), chars).otherwise(0)
+    found = held("redundancy", EXTREME, "block", F.col("phrase")) + held("listing", REDUNDANT, "list_block", F.col("link") + F.col("tag"))
+    cases = measured.withColumn("found", found).filter((F.col("density") <= DENSITY) & (F.col("found") >= LEAST_CHARS) & (F.col("found") > GREATER_PART * F.col("body")))
+    return cases.select("doc_id", (F.col("found") / F.col("body")).alias("share"), "redundancy", "listing", "density")
