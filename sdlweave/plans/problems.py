@@ -24,11 +24,11 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return H.hierarchy(table(spark, d, "embedding_documents")).select("collection", "type_name", "root_name", "depth", "on_cycle")
+    return H.hierarchy(table(spark, d, "embedding_documents"), labels=False).select("collection", "type_name", "root_name", "depth", "on_cycle")
 
 
 def p6_paths(spark: SparkSession, d: str) -> DataFrame:
-    tree = H.hierarchy(table(spark, d, "embedding_documents")).filter("depth >= 0")
+    tree = H.paths(table(spark, d, "embedding_documents")).filter("depth >= 0")
     return tree.select("collection", "type_name", "root_name", "depth", "parent_name", "path", F.col("subtree_size").cast("long").alias("subtree_size"))
 
 
@@ -215,6 +215,17 @@ from nodes n left join dep on dep.collection = n.collection and dep.v = n.v left
 select pth.collection, pth.v as type_name, best.root as root_name, cast(dep.d as integer) as depth, pth.parent as parent_name, pth.path,
   1 + (select count(*) from anc where anc.collection = pth.collection and anc.a = pth.v) as subtree_size
 from pth join dep on dep.collection = pth.collection and dep.v = pth.v join best on best.collection = pth.collection and best.v = pth.v""",
+    "p6_chains": f"""with recursive {_TREE},
+size as (select dep.collection, dep.v, best.root, par.parent, 1 + (select count(*) from anc where anc.collection = dep.collection and anc.a = dep.v) as n
+  from dep join best on best.collection = dep.collection and best.v = dep.v left join par on par.collection = dep.collection and par.v = dep.v),
+ranked as (select *, row_number() over (partition by collection, parent order by n desc, v) as r from size),
+placed as (select *, coalesce(sum(n) over (partition by collection, parent order by r > 1, case when r > 1 then substr(md5(v), 1, 2) end, v rows between unbounded preceding and 1 preceding), 0) as before from ranked),
+walk as (
+  select collection, v, root, n, v as chain, 0 as pos from placed where parent is null
+  union all
+  select p.collection, p.v, p.root, p.n, case when p.r = 1 then walk.chain else p.v end, cast(walk.pos + 1 + p.before as integer) from walk join placed p on p.collection = walk.collection and p.parent = walk.v)
+select n.collection, n.v as type_name, coalesce(walk.root, '') as root_name, walk.chain, coalesce(walk.pos, -1)::integer as pos, coalesce(walk.n, 0)::integer as subtree_size
+from nodes n left join walk on walk.collection = n.collection and walk.v = n.v""",
     "p6_descendants": f"with recursive {_TREE} select collection, a as type_name, v as descendant, cast(dist as integer) as distance from anc",
     "p6_all_descendants": f"""with recursive {_GRAPH},
 most as (select collection, count(*) as n from nodes group by all),

@@ -120,19 +120,21 @@ graphs = st.lists(st.tuples(st.integers(0, 9), st.integers(0, 9)), max_size=25)
 @given(graphs)
 def test_hierarchy_solver(links):
     names = [f"T{i}" for i in range(10)]
-    rows = H.solve(names, links)
+    solved = H.Solved(names, sorted(set(links))).label()
+    rows = list(zip(*solved.columns(range(10)), solved.paths()))
     assert {(r[0], r[1], r[2], r[3]) for r in rows} == brute_hierarchy(set(names), {(names[a], names[b]) for a, b in links})
     at = {r[0]: r for r in rows}
-    for name, root, depth, _, parent, steps, chain, pos, size in rows:
+    for name, root, depth, _, parent, chain, pos, size, path in rows:
         if depth < 0:
-            assert (root, parent, steps, chain, pos, size) == ("", None, None, None, -1, 0)
+            assert (root, parent, path, chain, pos, size) == ("", None, None, None, -1, 0)
             continue
+        steps = path.split("/")
         assert steps[0] == root and steps[-1] == name and len(steps) == depth + 1
         assert (steps[-2] if depth else None) == parent
-        inside = {r[0] for r in rows if r[1] == root and pos <= r[7] < pos + size}
-        assert inside == {r[0] for r in rows if r[5] is not None and r[5][: depth + 1] == steps}
-        if depth and at[parent][6] != chain:  # a light child's subtree is at most half
-            assert 2 * size <= at[parent][8]
+        inside = {r[0] for r in rows if r[1] == root and pos <= r[6] < pos + size}
+        assert inside == {r[0] for r in rows if r[8] is not None and r[8].split("/")[: depth + 1] == steps}
+        if depth and at[parent][5] != chain:  # a light child's subtree is at most half
+            assert 2 * size <= at[parent][7]
 
 
 def hierarchy_rows(rnd, n=60):
@@ -149,8 +151,9 @@ def test_hierarchy_both_ways(spark):
     rnd = random.Random(8)
     rows = hierarchy_rows(rnd)
     d = docs(spark, rows)
-    local, spread = H.hierarchy(d), H.hierarchy(d, bound=5)
+    local, spread = H.paths(d), H.paths(d, bound=5)
     same(local.toPandas(), spread.toPandas())
+    same(H.hierarchy(d).toPandas(), local.drop("path").toPandas())
     want = set()
     for c in ("x", "y", None):
         nodes = {r[2] for r in rows if r[3] == c and r[1] in ("object", "interface", "union") and r[2] is not None}
@@ -163,12 +166,28 @@ def test_hierarchy_both_ways(spark):
     assert H.hierarchy(d.limit(0)).count() == 0 and H.hierarchy(d.limit(0), bound=-1).count() == 0
 
 
-def test_long_chain_and_cycles_spread(spark):
-    rows = [(i, "object", f"C{i:02}", "z", 0, None, None, None) for i in range(24)]
-    rows += [(100 + i, "field", "f", "z", 0, f"C{i:02}", f"C{i + 1:02}", None) for i in range(11)]
-    rows += [(200 + i, "field", "f", "z", 0, f"C{12 + i:02}", f"C{12 + (i + 1) % 12:02}", None) for i in range(12)] + [(300, "field", "f", "z", 0, "C05", "C05", None)]
-    d = docs(spark, rows)
-    same(H.hierarchy(d).toPandas(), H.hierarchy(d, bound=1).toPandas())
+def test_a_very_long_chain_is_solved_in_linear_memory():
+    n = 200_000
+    solved = H.Solved([f"{i:06}" for i in range(n)], [(i, i + 1) for i in range(n - 1)]).label()
+    assert solved.depth[-1] == n - 1 == solved.pos[-1] and solved.head[-1] == 0 and solved.size[0] == n
+
+
+def test_deep_graphs_take_few_rounds(spark, monkeypatch):
+    """Chains, a comb, a long ring and what hangs on it, by joins: rounds follow the logarithm of the depth."""
+    n = 400
+    pairs = [(f"c{i:05}", f"c{i + 1:05}") for i in range(n)] + [(f"c{i:05}", f"t{i:05}") for i in range(0, n, 3)]
+    pairs += [(f"r{i:05}", f"r{(i + 1) % n:05}") for i in range(n)] + [("r00005", f"h{0:05}")] + [(f"h{i:05}", f"h{i + 1:05}") for i in range(n)] + [("c00000", "c00200"), ("c00005", "c00005"), *((f"q{i:02}", f"q{(i + 1) % 12:02}") for i in range(12)), ("c00009", "q03")]
+    links = spark.createDataFrame([("x", a, b) for a, b in pairs] + [("x", v, None) for v in {v for p in pairs for v in p}], "_c string, src string, dst string")
+    staged = []
+    monkeypatch.setattr(H, "stage", lambda df, f=H.stage: staged.append(1) or f(df))
+    got = {r["type_name"]: r for r in H.solve_distributed(links).collect()}
+    assert len(staged) < 160
+    names = sorted({v for p in pairs for v in p})
+    at = {v: i for i, v in enumerate(names)}
+    want = H.Solved(names, sorted((at[a], at[b]) for a, b in pairs)).label()
+    for row in zip(*want.columns(range(len(names)))):
+        r = got[row[0]]
+        assert (r["root_name"], r["depth"], r["on_cycle"], r["parent_name"], r["chain"], r["pos"], r["subtree_size"]) == row[1:]
 
 
 json_values = st.recursive(st.none() | st.booleans() | st.integers() | st.text(max_size=4), lambda x: st.lists(x, max_size=3) | st.dictionaries(st.text(max_size=3), x, max_size=3), max_leaves=12)
