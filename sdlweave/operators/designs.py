@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,7 +60,8 @@ def group_diagnostics(errors: DataFrame) -> DataFrame:
 
 _PLACE = "struct<line:int,column:int>"
 BUILD_ERRORS = f"struct<error:struct<details:struct<build_errors:array<struct<message:string,code:string,nodes:array<struct<subgraph:string,start:{_PLACE},end:{_PLACE}>>>>>>>"
-_LINE = T.StructType([T.StructField(n, T.IntegerType()) for n in ("line", "column", "end_line", "end_column")])
+_PARTS = ["line", "column", "end_line", "end_column"]
+_LINE = T.StructType([T.StructField(n, T.IntegerType()) for n in _PARTS])
 
 
 def build_errors(outputs: DataFrame, output: str = "output", keep: str = "run_id") -> DataFrame:
@@ -116,4 +118,9 @@ def locate(sdl: str, target: str) -> dict | None:
 
 
 def locate_column(sdl, target):
-    return F.udf(lambda s, t: (lambda p: tuple(p.values()) if p else None)(locate(s, t)) if s is not None and t else None, _LINE)(sdl, target)
+    @F.pandas_udf(_LINE)
+    def run(texts: pd.Series, targets: pd.Series) -> pd.DataFrame:
+        found = [locate(s, t) if s is not None and t else None for s, t in zip(texts, targets)]
+        return pd.DataFrame([list(p.values()) if p else [None] * len(_PARTS) for p in found], columns=_PARTS, dtype="object")
+
+    return F.when(run(sdl, target)[_PARTS[0]].isNotNull(), run(sdl, target))

@@ -13,8 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Texts of one call of a provider.
+BATCH = 100
+
+
 class EmbeddingProvider(Protocol):
-    """Text to vectors. ``count_tokens`` may be missing; then nothing is ever too long."""
+    """Text to vectors. ``count_tokens`` may be missing; then nothing is ever too long. With ``embed_batch`` texts go by the batch."""
 
     dimensions: int
     max_context: int
@@ -47,8 +51,14 @@ def embed_column(provider: EmbeddingProvider, text: Column) -> Column:
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        many = getattr(provider, "embed_batch", None) or (lambda texts: [provider.embed(t) for t in texts])
         for s in batches:
-            yield s.map(lambda t: None if t is None else provider.embed(t))
+            out: list = [None] * len(s)
+            held = [i for i, t in enumerate(s) if t is not None]
+            for at in range(0, len(held), BATCH):
+                for i, v in zip(held[at : at + BATCH], many([s.iloc[i] for i in held[at : at + BATCH]])):
+                    out[i] = v
+            yield pd.Series(out, index=s.index, dtype="object")
 
     return run(text)
 

@@ -64,10 +64,13 @@ def ladder(results: DataFrame, start: float = MIN_SIMILARITY, step: float = STEP
 
 def unit_rows(vectors: pa.Array, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Numbers and unit vectors of the rows that can be compared: of the width, finite and not all zero."""
-    got = [(i, np.asarray(v, dtype=np.float64)) for i, v in enumerate(vectors.to_pylist()) if v and None not in v and (width is None or len(v) == width)]
-    got = [(i, v) for i, v in got if np.isfinite(v).all() and v.any()]
-    x = np.array([v for _, v in got]) if got else np.zeros((0, width or 1))
-    return np.array([i for i, _ in got], dtype=np.int64), x / np.linalg.norm(x, axis=1, keepdims=True)
+    length = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy(zero_copy_only=False)
+    if width is None:
+        width = int(length[length > 0][0]) if (length > 0).any() else 1
+    at = np.flatnonzero(length == width)
+    x = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)  # null elements are NaN
+    ok = np.isfinite(x).all(axis=1) & x.any(axis=1)
+    return at[ok].astype(np.int64), x[ok] / np.linalg.norm(x[ok], axis=1, keepdims=True)
 
 
 def batch_top_k(df: DataFrame, queries: DataFrame, k: int = DEFAULT_LIMIT, key: str = "id", query_key: str = "query_id", vector: str = "embedding", query: str = "query", block: int = 5_000) -> DataFrame:

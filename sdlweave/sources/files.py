@@ -73,9 +73,24 @@ def configs(files: DataFrame, text: str = "value") -> DataFrame:
     return files.select("path", text).mapInArrow(run, _CONFIG)
 
 
-def write_sdl(df: DataFrame, path: str, sdl: str = "sdl") -> None:
-    """Each schema text as a text file below ``path``."""
-    df.select(F.col(sdl).alias("value")).write.mode("overwrite").text(path)
+def write_sdl(df: DataFrame, path: str, name: str = "name", sdl: str = "sdl") -> None:
+    """Each schema text as one file, in a folder ``name=...`` below ``path``; a name that is given again is replaced, others stay."""
+    rows = df.select(F.col(name).alias("name"), F.col(sdl).alias("value"))
+    rows.repartition("name").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("name").text(path)
+
+
+def listing(spark: SparkSession, folder: str, glob: str = "*.graphql*") -> DataFrame:
+    """``path, modificationTime, length`` of the files below ``folder`` as they are now; empty if there are none."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder)
+    return files.select("path", "modificationTime", "length")
+
+
+def changes(before: DataFrame, now: DataFrame) -> DataFrame:
+    """``path, change`` (added, modified, deleted) between two listings."""
+    b = before.select("path", F.struct("modificationTime", "length").alias("b"))
+    n = now.select("path", F.struct("modificationTime", "length").alias("n"))
+    change = F.when(F.col("b").isNull(), "added").when(F.col("n").isNull(), "deleted").when(F.col("b") != F.col("n"), "modified")
+    return b.join(n, "path", "full").select("path", change.alias("change")).filter("change is not null")
 
 
 def embedding_tables(spark: SparkSession, column: str = "embedding") -> list[str]:

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sdlweave.operators.collection import VectorCollection
+from sdlweave.operators.collection import VectorCollection, _Files
 from sdlweave.operators.embedding import EmbeddingProvider
-from sdlweave.operators.rows import keep_last
 from sdlweave.operators.sync import sync
+from sdlweave.runtime import stage
+from sdlweave.sources.files import changes, listing
 
 
 def bursts(events: DataFrame, key: str = "user_id", ts: str = "ts", gap: str = "300 milliseconds") -> DataFrame:
@@ -26,25 +27,57 @@ def sliding(events: DataFrame, size: str = "1 hour", slide: str = "30 minutes",
     return events.groupBy(F.window(ts, size, slide).alias("w"), by).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), by, "n")
 
 
-def watch(spark: SparkSession, folder: str, handle: Callable[[DataFrame, int], None], checkpoint: str, glob: str = "*.graphql"):
-    """A file stream of whole schema texts; each micro-batch keeps the latest text of a path."""
-    files = spark.readStream.option("pathGlobFilter", glob).text(folder, wholetext=True)
-    changes = files.select(F.input_file_name().alias("path"), F.col("value").alias("sdl"), F.col("_metadata.file_modification_time").alias("changed_at"))
+_LISTED = "path string, modificationTime timestamp, length long"
 
-    def batch(df: DataFrame, epoch: int) -> None:
-        handle(keep_last(df, ["path"], ["changed_at"]), epoch)
 
-    return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def poll(spark: SparkSession, folder: str, handle: Callable[[DataFrame, int], None], state: str, glob: str = "*.graphql") -> int:
+    """Compare the folder with the last listing kept under ``state`` and hand over what changed, if anything did.
 
+    ``handle`` gets ``path, change, sdl, changed_at`` for added, modified and deleted files (without text) and the number of
+    the listing. A listing counts once ``handle`` has returned, so a failed one is handed over again. Returns the number of changes.
+    A file source would see each path once only; this also sees a file that is rewritten or removed.
+    """
+    files = _Files(spark)
+    known = sorted(n for n in files.names(state) if n.startswith("listing-") and files.exists(f"{state}/{n}/_SUCCESS"))
+    number = int(known[-1][len("listing-") :]) + 1 if known else 0
+    now = stage(listing(spark, folder, glob))
+    before = spark.read.schema(_LISTED).parquet(f"{state}/{known[-1]}") if known else spark.createDataFrame([], _LISTED)
+    changed = stage(changes(before, now))
+    n = changed.count()
+    if n:
+        texts = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("sdl"), F.col("_metadata.file_modification_time").alias("changed_at"))
+        same = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+        texts = texts.withColumn("_p", same(F.col("path"))).drop("path")
+        handle(changed.withColumn("_p", same(F.col("path"))).join(texts, "_p", "left").drop("_p"), number)
+    now.write.mode("overwrite").parquet(f"{state}/listing-{number:010}")
+    for old in known:
+        files.delete(f"{state}/{old}")
+    return n
 
-def sync_stream(spark: SparkSession, folder: str, collection: VectorCollection, provider: EmbeddingProvider, checkpoint: str):
-    """Keep a collection in step with the schema file of a folder, one sync a changed text."""
 
+def watch(spark: SparkSession, folder: str, handle: Callable[[DataFrame, int], None], state: str, glob: str = "*.graphql", every: str = "1 second"):
+    """A running stream that polls the folder at each trigger."""
+    beat = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return beat.writeStream.foreachBatch(lambda _, __: poll(spark, folder, handle, state, glob) and None).option("checkpointLocation", f"{state}/beat").trigger(processingTime=every).start()
+
+
+def _keep_in_step(collection: VectorCollection, provider: EmbeddingProvider) -> Callable[[DataFrame, int], None]:
     def handle(df: DataFrame, _: int) -> None:
-        for row in df.orderBy("changed_at").select("sdl").toLocalIterator():  # a changed file each
-            sync(df.sparkSession, row["sdl"], collection, provider)
+        last = df.filter("sdl is not null").orderBy(F.desc("changed_at"), "path").first()
+        if last is not None:
+            sync(df.sparkSession, last["sdl"], collection, provider)
+
+    return handle
+
+
+def sync_folder(spark: SparkSession, folder: str, collection: VectorCollection, provider: EmbeddingProvider, state: str) -> int:
+    """Bring a collection in step with the schema file of a folder, if it has changed since the last call: the newest text counts."""
+    return poll(spark, folder, _keep_in_step(collection, provider), state)
+
 
-    return watch(spark, folder, handle, checkpoint)
+def sync_stream(spark: SparkSession, folder: str, collection: VectorCollection, provider: EmbeddingProvider, state: str, every: str = "1 second"):
+    """The same as a running stream."""
+    return watch(spark, folder, _keep_in_step(collection, provider), state, every=every)
 
 
 def late_counts(events: DataFrame, delay: str = "10 minutes", size: str = "5 minutes", ts: str = "ts", by: str = "event_type") -> DataFrame:

@@ -13,7 +13,7 @@ from sdlweave.generation import analysis
 from sdlweave.generation.pipeline import Generator, code_block, operation_kind, unknown_fields, variables_of
 from sdlweave.generation.providers import HttpModel, ScriptedModel, complete_with_tools, merge_messages
 from sdlweave.operators import lint, rows, search
-from sdlweave.operators.collection import VectorCollection, collections, replace_entities
+from sdlweave.operators.collection import ConcurrentChange, VectorCollection, clear_entities, collections, query_or_near_zero, replace_entities, sentinel, upsert_external, without_sentinel
 from sdlweave.operators.embedding import HashingEmbedder, embed_documents
 from sdlweave.operators.predicates import ColumnFilter, MetadataFilter, condition
 from sdlweave.operators.sync import EmbeddingService, document_frame, embed_and_store, sync
@@ -110,16 +110,45 @@ def test_service(spark, tmp_path):
     assert s.count() == 0
 
 
-def test_stream_keeps_in_step(spark, tmp_path):
-    folder, c = tmp_path / "in", VectorCollection(spark, str(tmp_path / "c"), "t")
+def test_folder_keeps_in_step(spark, tmp_path):
+    folder, c, seen = tmp_path / "in", VectorCollection(spark, str(tmp_path / "c"), "t"), []
     folder.mkdir()
+    state = str(tmp_path / "state")
     (folder / "a.graphql").write_text(SHOP)
-    jobs.sync_stream(spark, str(folder), c, HashingEmbedder(), str(tmp_path / "ck")).awaitTermination()
+    assert jobs.sync_folder(spark, str(folder), c, HashingEmbedder(), state) == 1
     n = c.count()
-    time.sleep(1.1)
-    (folder / "b.graphql").write_text(SHOP + " scalar More")
-    jobs.sync_stream(spark, str(folder), c, HashingEmbedder(), str(tmp_path / "ck")).awaitTermination()
+    assert jobs.sync_folder(spark, str(folder), c, HashingEmbedder(), state) == 0
+    (folder / "a.graphql").write_text(SHOP + " scalar More")  # the same name again
+    assert jobs.sync_folder(spark, str(folder), c, HashingEmbedder(), state) == 1
     assert c.count() == n + 1
+    (folder / "b.graphql").write_text("scalar Other")
+    (folder / "a.graphql").unlink()
+    handle = lambda df, _: seen.extend((r["path"][-9:], r["change"], r["sdl"]) for r in df.collect())
+    jobs.poll(spark, str(folder), handle, state)
+    assert sorted(seen) == [("a.graphql", "deleted", None), ("b.graphql", "added", "scalar Other")]
+    with pytest.raises(ZeroDivisionError):
+        (folder / "b.graphql").write_text("scalar Again")
+        jobs.poll(spark, str(folder), lambda df, _: 1 / 0, state)
+    seen.clear()
+    jobs.poll(spark, str(folder), handle, state)  # handed over again
+    assert seen == [("b.graphql", "modified", "scalar Again")]
+
+
+def test_stream_sees_a_rewritten_file(spark, tmp_path):
+    folder, c = tmp_path / "in", VectorCollection(spark, str(tmp_path / "c"), "t")
+    folder.mkdir()
+    (folder / "a.graphql").write_text("scalar A")
+    q = jobs.sync_stream(spark, str(folder), c, HashingEmbedder(), str(tmp_path / "state"))
+    try:
+        for text, n in (("scalar A", 1), ("scalar A scalar B", 2)):
+            (folder / "a.graphql").write_text(text)
+            for _ in range(120):
+                if c.count() == n:
+                    break
+                time.sleep(0.5)
+            assert c.count() == n
+    finally:
+        q.stop()
 
 
 def test_retry_state(spark, tmp_path):
@@ -145,7 +174,79 @@ def test_entities_are_replaced_by_design(spark, tmp_path):
     df = lambda *r: spark.createDataFrame(list(r), "design_id string, type_name string")
     replace_entities(df(("a", "X"), ("a", "Y"), ("b", "Z")), path)
     replace_entities(df(("a", "W")), path)
+    read = lambda: sorted((r["design_id"], r["type_name"]) for r in spark.read.schema("type_name string, design_id string").parquet(path).collect())
     assert sorted((r["design_id"], r["type_name"]) for r in spark.read.parquet(path).collect()) == [("a", "W"), ("b", "Z")]
+    replace_entities(df(("c", "V")).limit(0), path, ["a", "none"])
+    assert read() == [("b", "Z")]
+    replace_entities(df(("c/d", "V"), ("e", "U")), path)
+    clear_entities(spark, path, "c/d")
+    assert read() == [("b", "Z"), ("e", "U")]
+    clear_entities(spark, path)
+    assert read() == []
+
+
+def test_index_of_a_collection(spark, data, tmp_path):
+    stored = spark.read.parquet(f"{data}/stored_documents.parquet").select(F.col("stored_id").cast("string").alias("id"), "type", "name", "content", "embedding")
+    c = VectorCollection(spark, str(tmp_path), "v").create()
+    c.upsert(stored)
+    probes = c.build_index(lists=40, target=0.95)
+    assert 1 <= probes <= 40
+    asked = [r["embedding"] for r in stored.filter("embedding is not null and size(embedding) = 64 and exists(embedding, x -> x <> 0) and not exists(embedding, x -> isnan(x))").orderBy(F.xxhash64("id")).limit(12).collect()]
+    hit = total = 0
+    for q in asked:
+        got, want = ({r["id"] for r in c.search(q, 10, probes=p).collect()} for p in (None, 0))
+        hit, total = hit + len(got & want), total + len(want)
+    assert hit >= 0.9 * total
+    c.upsert(spark.createDataFrame([("new", [float(x) for x in asked[0]])], "id string, embedding array<float>"))
+    assert "new" in {r["id"] for r in c.search(asked[0], 30).collect()}
+
+
+def test_a_change_rewrites_its_buckets_only(spark, tmp_path):
+    c = VectorCollection(spark, str(tmp_path), "t", buckets=8).create()
+    c.upsert(spark.createDataFrame([(str(i), [1.0]) for i in range(200)], "id string, embedding array<float>"))
+    before = c._manifest()[1]["buckets"]
+    c.upsert(spark.createDataFrame([("7", [2.0])], "id string, embedding array<float>"))
+    after = c._manifest()[1]["buckets"]
+    assert len(before) == 8 == len(after) and sum(before[b] != after[b] for b in before) == 1
+    assert c.count() == 200 and c.read().filter("id = '7'").first()["embedding"] == [2.0]
+    number, manifest = c._manifest()
+    c.delete(["7"])
+    with pytest.raises(ConcurrentChange):
+        c._publish(number, manifest)  # a writer that began from the version before
+    assert c.count() == 199 and c.vacuum() > 0 and c.count() == 199
+
+
+def test_external_upsert_in_batches(spark, tmp_path):
+    folder = str(tmp_path)
+    df = spark.createDataFrame([(str(i), [1.0, 2.0] if i % 10 else None, "object", None) for i in range(450)], "id string, embedding array<float>, type string, name string").coalesce(1)
+
+    def connect():
+        import json
+        import uuid
+
+        def send(namespace, records):
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                json.dump([namespace, records], f)
+
+        return send
+
+    upsert_external(df, connect, "shop")
+    import os
+
+    sent = [json.load(open(f"{folder}/{n}")) for n in os.listdir(folder)]
+    assert sorted(len(r) for _, r in sent) == [5, 100, 100, 100, 100] and {n for n, _ in sent} == {"shop"}
+    assert sent[0][1][0]["metadata"] == {"type": "object"}
+    assert query_or_near_zero([0.0, 0.0]) == [1e-7, 1e-7] and query_or_near_zero([0.0, 2.0]) == [0.0, 2.0]
+    mixed = spark.createDataFrame([("a",), (sentinel("type A", 2)["id"],), (None,)], "id string")
+    assert without_sentinel(mixed).count() == 2
+
+
+def test_schema_texts_as_files(spark, tmp_path):
+    path = str(tmp_path / "s")
+    files.write_sdl(spark.createDataFrame([("a", "type A {\n x: Int }"), ("b", "type B")], "name string, sdl string"), path)
+    files.write_sdl(spark.createDataFrame([("b", "type C")], "name string, sdl string"), path)
+    got = {r["name"]: r["value"].strip() for r in spark.read.text(path, wholetext=True).collect()}
+    assert got == {"a": "type A {\n x: Int }", "b": "type C"}
 
 
 @given(st.lists(st.floats(-1, 1), min_size=1, max_size=20))
