@@ -7,12 +7,14 @@ makes groups of near prototypes. Every row goes to the cell of its nearest proto
 from any are *outer* rows, the others *inner* rows. A cell's radius and the box of its projections are
 exact, taken over all its inner rows.
 
-A query visits a cell only if two tests leave it open. The triangle inequality in the full space, which loses
-nothing; and, in projection, the chi-square stopping test: the search goes on while
-``chi2_cdf(box_distance^2 / kth_distance^2) < CONFIDENCE``, where the k-th distance starts at the one that
-belongs to similarity 0.85 and shrinks to what the query found in its own cell. The vectors of a
-visited cell are all verified, in double precision at the end, so only cells left out can be missed. Inner
-rows do not look for outer rows: an outer row visits the cells near it and the pair is entered in both
+The stopping test: the search goes on while ``chi2_cdf(projected_distance^2 / kth_distance^2) < CONFIDENCE``. A row visits the
+groups with a cell for which it does, the k-th distance being the one that belongs to similarity 0.85 (a stated query's comes
+from the sample). In a block the rows lie in the leaves of a kd-tree over their projections. Each query takes the leaves in the
+order of their projected distance, verifies their vectors, in double precision at the end, lowers its k-th distance by what it
+found, and ends when the next leaf fails the test. The triangle inequality in the full space also closes leaves and cells,
+which loses nothing; so only what the test closed can be missed.
+
+Inner rows do not look for outer rows: an outer row visits the cells near it and the pair is entered in both
 lists. Outer rows meet each other in a group of their own.
 
 A vector is sent once to its group and once to each group it visits. Copies of a vector are searched
@@ -41,6 +43,8 @@ DIMS, CONFIDENCE = 24, 0.9999
 SAMPLE, COVER, HOLD = 16_384, 0.88, 0.86
 #: Rows aimed at per group; most rows (on average, by hash) of one block and visitors of one portion.
 GROUP_ROWS, BLOCK_ROWS, PORTION = 16_000, 24_000, 48_000
+#: Most rows of a leaf of a block's kd-tree, and queries that are searched at a time.
+LEAF, QUERIES = 64, 2_048
 
 
 def chi2_quantile(p: float, dims: int = DIMS) -> float:
@@ -98,6 +102,22 @@ def kd_groups(points: np.ndarray, weight: np.ndarray, levels: int) -> np.ndarray
     return leaf
 
 
+def kd_leaves(points: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
+    """The rows in leaves of at most LEAF, cut at the median of the widest dimension."""
+    out, work = [], [rows]
+    while work:
+        some = work.pop()
+        if len(some) <= LEAF:
+            out.append(np.sort(some))
+            continue
+        x = points[some]
+        dim = int(np.argmax(x.max(0) - x.min(0)))
+        half = len(some) // 2
+        order = np.argpartition(x[:, dim], half)
+        work += [some[order[half:]], some[order[:half]]]
+    return out
+
+
 def _holder(protos: np.ndarray):
     """Adds the nearest prototype and whether it holds the row."""
     table = np.ascontiguousarray(protos.T.astype(np.float32))
@@ -141,11 +161,23 @@ def _boxer(protos: np.ndarray):
     return run
 
 
+def _balls(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Middle and radius of the balls around the boxes of projections."""
+    return (lo + hi) / 2, np.linalg.norm(hi - lo, axis=1) / 2
+
+
+def _open_balls(p: np.ndarray, middle: np.ndarray, wide: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """Which cells the stopping test leaves open to each projection, by the balls around them; ``reach`` is the squared k-th distance."""
+    apart = np.sqrt(np.maximum(0, (p**2).sum(1)[:, None] + (middle**2).sum(1)[None] - 2 * p @ middle.T))
+    return np.maximum(apart - wide[None] - 1e-9, 0) ** 2 < reach[:, None] * REACH + 1e-9
+
+
 def _router(centre: np.ndarray, far: np.ndarray, lo: np.ndarray, hi: np.ndarray, group: np.ndarray, group_of: np.ndarray, groups: int):
     """The row itself for its group (the last one for outer rows), and a visitor for each group with an open cell."""
     table = np.ascontiguousarray(centre.T.astype(np.float32))
     # the triangle inequality on similarities, with room for single precision
     nearest = np.cos(np.minimum(2 * np.arcsin(np.minimum((far + FARTHEST) / 2, 1)), np.pi)).astype(np.float32) - np.float32(1e-4)
+    middle, wide = _balls(lo, hi)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -153,8 +185,8 @@ def _router(centre: np.ndarray, far: np.ndarray, lo: np.ndarray, hi: np.ndarray,
                 b = whole.slice(at, 512)
                 x, inner = _matrix(b.column(1)), b.column(3).to_numpy(zero_copy_only=False)
                 own = np.where(inner, group_of[b.column(2).to_numpy()], groups)
-                r, c = np.nonzero(x.astype(np.float32) @ table >= nearest[None])
                 p = x @ _DIRECTIONS
+                r, c = np.nonzero(_open_balls(p, middle, wide, np.full(len(p), FARTHEST**2)) & (x.astype(np.float32) @ table >= nearest[None]))
                 gap = (np.maximum(np.maximum(lo[c] - p[r], p[r] - hi[c]), 0) ** 2).sum(1)
                 ok = gap < FARTHEST**2 * REACH
                 go = np.zeros((b.num_rows, groups + 1), bool)
@@ -171,6 +203,7 @@ def _router(centre: np.ndarray, far: np.ndarray, lo: np.ndarray, hi: np.ndarray,
 def _query_router(sample_ids: np.ndarray, sample: np.ndarray, centre: np.ndarray, far: np.ndarray, lo: np.ndarray, hi: np.ndarray, group: np.ndarray, groups: int):
     """A visitor for each group with a cell open to the query, whose first bound is its k-th best in the sample."""
     table, fitted = np.ascontiguousarray(centre.T), np.ascontiguousarray(sample.T)
+    middle, wide = _balls(lo, hi)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -183,9 +216,9 @@ def _query_router(sample_ids: np.ndarray, sample: np.ndarray, centre: np.ndarray
                     s[ids[:, None] == sample_ids[None]] = -2
                     bound = np.maximum(bound, np.partition(s, s.shape[1] - K, axis=1)[:, s.shape[1] - K] - 2e-9)
                 reach = np.sqrt(2 - 2 * bound)
-                apart = np.sqrt(np.maximum(0, 2 - 2 * x @ table))
-                r, c = np.nonzero(apart <= far[None] + reach[:, None] + 1e-6)
                 p = x @ _DIRECTIONS
+                apart = np.sqrt(np.maximum(0, 2 - 2 * x @ table))
+                r, c = np.nonzero(_open_balls(p, middle, wide, reach**2) & (apart <= far[None] + reach[:, None] + 1e-6))
                 gap = (np.maximum(np.maximum(lo[c] - p[r], p[r] - hi[c]), 0) ** 2).sum(1)
                 ok = gap < reach[r] ** 2 * REACH + 1e-9
                 go = np.zeros((b.num_rows, groups + 1), bool)
@@ -213,21 +246,27 @@ def _top(owner: np.ndarray, ids: np.ndarray, sims: np.ndarray) -> tuple[np.ndarr
 
 
 class Block:
-    """The rows of one block, cell by cell, and the search among them. A block holds inner rows or outer rows only."""
+    """The rows of one block in the leaves of a kd-tree over their projections, and the search among them.
+
+    The tree is cut along cells first and below them at the median of the widest projected dimension until no leaf holds
+    more than LEAF rows; outer rows have no cells and are cut from the top. A block holds inner rows or outer rows only.
+    """
 
     def __init__(self, t: pa.Table) -> None:
         t = t.sort_by([("cell", "ascending"), ("vid", "ascending")])
-        self.ids, self.cell = (_column(t, c).to_numpy() for c in ("vid", "cell"))
-        self.outer = bool(len(self.ids)) and not _column(t, "inner")[0].as_py()
-        self.x = _matrix(_column(t, "vec"))
-        self.x32 = self.x.astype(np.float32)
-        self.p = self.x @ _DIRECTIONS
-        self.cells, first = np.unique(self.cell, return_index=True)
-        self.members = np.split(np.arange(len(self.ids)), first[1:]) if len(self.ids) else []
-        self.lo = np.array([self.p[m].min(0) for m in self.members]).reshape(-1, DIMS)
-        self.hi = np.array([self.p[m].max(0) for m in self.members]).reshape(-1, DIMS)
-        self.mean = np.array([self.x[m].mean(0) for m in self.members]).reshape(-1, WIDTH)
-        self.far = np.array([np.linalg.norm(self.x[m] - c, axis=1).max() for m, c in zip(self.members, self.mean)])
+        ids, cell, x = _column(t, "vid").to_numpy(), _column(t, "cell").to_numpy(), _matrix(_column(t, "vec"))
+        self.outer = bool(len(ids)) and not _column(t, "inner")[0].as_py()
+        self.ids, self.x, self.p = ids, x, x @ _DIRECTIONS
+        first = np.zeros(min(1, len(ids)), np.int64) if self.outer else np.unique(cell, return_index=True)[1]
+        self.leaves = [m for some in np.split(np.arange(len(ids)), first[1:]) for m in kd_leaves(self.p, some)] if len(ids) else []
+        self.x32 = x.astype(np.float32)
+        each = lambda f, width: np.array([f(m) for m in self.leaves]).reshape(-1, *width)
+        self.lo, self.hi = (each(lambda m, f=f: f(self.p[m], axis=0), (DIMS,)) for f in (np.min, np.max))
+        self.mean = each(lambda m: x[m].mean(0), (WIDTH,))
+        self.middle = self.mean @ _DIRECTIONS
+        self.far = np.array([np.linalg.norm(x[m] - c, axis=1).max() for m, c in zip(self.leaves, self.mean)])
+        self.wide = np.array([np.linalg.norm(self.p[m] - c, axis=1).max() for m, c in zip(self.leaves, self.middle)])
+        self.tested = self.stopped = self.kept = 0  # query-leaf pairs: looked at, closed by the stop in projection, verified
 
     def score(self, q: np.ndarray, q_ids: np.ndarray, bound: np.ndarray, pick: np.ndarray, cut: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Query, row and similarity from the query's bound on; with ``cut`` at least its K best here."""
@@ -243,48 +282,66 @@ class Block:
         ok = sims >= bound[r]
         return r[ok], c[ok], sims[ok]
 
-    def bounds(self) -> np.ndarray:
-        """A bound on the k-th similarity of each row, from its own cell."""
-        out = np.full(len(self.ids), LEAST)
-        for m in self.members:
-            if len(m) > K:
-                for n in np.array_split(m, -(-len(m) // 512)):
-                    s = self.x32[n] @ self.x32[m].T
-                    out[n] = np.maximum(LEAST, np.partition(s, len(m) - K - 1, axis=1)[:, len(m) - K - 1] - 1e-5)
-        return out
-
-    def open_cells(self, q: np.ndarray, p: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Query and cell of each pair that neither the triangle inequality nor the chi-square test closes."""
-        rows, cells = [], []
-        reach = np.sqrt(2 - 2 * bound)
-        for at in range(0, len(q), 2000):
-            n = slice(at, at + 2000)
-            apart = np.sqrt(np.maximum(0, 1 + (self.mean**2).sum(1)[None] - 2 * q[n] @ self.mean.T))
-            r, c = np.nonzero(apart <= self.far[None] + reach[n, None] + 1e-6)
-            gap = (np.maximum(np.maximum(self.lo[c] - p[n][r], p[n][r] - self.hi[c]), 0) ** 2).sum(1)
-            ok = gap < reach[n][r] ** 2 * REACH + 1e-9
-            rows.append(r[ok] + at)
-            cells.append(c[ok])
-        return np.concatenate(rows), np.concatenate(cells)
-
-    def search(self, q: np.ndarray, p: np.ndarray, q_ids: np.ndarray, cut: bool, home: bool, bound: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Yields query numbers and their hits as (query, row, similarity). ``home``: the queries are this block's rows."""
-        bound = np.full(len(q), LEAST) if bound is None else bound
-        if self.outer:
-            everything = np.arange(len(self.ids))
-            for n in np.array_split(np.arange(len(q)), -(-len(q) // 256)):
-                yield n, *self.score(q[n], q_ids[n], bound[n], everything, cut)
-            return
-        if home:
-            bound = self.bounds()
-        rows, cells = self.open_cells(q, p, bound)
-        order = np.argsort(cells, kind="stable")
-        rows, first = rows[order], np.searchsorted(cells[order], np.arange(len(self.members) + 1))
-        for k, m in enumerate(self.members):
-            some = rows[first[k] : first[k + 1]]
-            for at in range(0, len(some), 1024):
-                n = some[at : at + 1024]
-                yield n, *self.score(q[n], q_ids[n], bound[n], m, cut)
+    def nearby(self, q: np.ndarray, p: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query, leaf and squared projected distance of the pairs the stop leaves open, each query's nearest leaf first.
+
+        The stopping test on balls around the leaves' projections, then on their boxes; between them the triangle inequality
+        in the full space, which loses nothing.
+        """
+        reach = 2 - 2 * bound
+        apart = np.sqrt(np.maximum(0, (p**2).sum(1)[:, None] + (self.middle**2).sum(1)[None] - 2 * p @ self.middle.T))
+        ball = np.maximum(apart - self.wide[None] - 1e-9, 0) ** 2
+        going = ball < reach[:, None] * REACH + 1e-9
+        self.tested += going.size
+        self.stopped += going.size - int(going.sum())
+        true = np.sqrt(np.maximum(0, 1 + (self.mean**2).sum(1)[None] - 2 * q @ self.mean.T))
+        r, c = np.nonzero(going & (true <= self.far[None] + np.sqrt(reach)[:, None] + 1e-6))
+        gap = np.maximum((np.maximum(np.maximum(self.lo[c] - p[r], p[r] - self.hi[c]), 0) ** 2).sum(1), ball[r, c])
+        ok = gap < reach[r] * REACH + 1e-9
+        self.stopped += int((~ok).sum())
+        r, c, gap = r[ok], c[ok], gap[ok]
+        order = np.lexsort((gap, r))
+        return r[order], c[order], gap[order]
+
+    def search(self, q: np.ndarray, p: np.ndarray, q_ids: np.ndarray, cut: bool, bound: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Yields query numbers and their hits as (query, row, similarity).
+
+        Incremental: each query takes its leaves in the order of projected distance, one, then two, four and so on; what is
+        verified raises the bound on its k-th similarity, and its search ends when the next leaf fails the stopping test.
+        Without ``cut`` the bounds stay, as the rows of the block also need the pairs.
+        """
+        bound = np.full(len(q), LEAST) if bound is None else bound.copy()
+        for at in range(0, len(q), QUERIES):
+            n = np.arange(at, min(len(q), at + QUERIES))
+            r, c, gap = self.nearby(q[n], p[n], bound[n])
+            rank = np.arange(len(r)) - np.searchsorted(r, r)
+            best = (np.zeros(0, np.int64), np.zeros(0))
+            taken = 1
+            while len(r):
+                now = rank < taken
+                self.kept += int(now.sum())
+                rows, leaves = r[now], c[now]
+                order = np.argsort(leaves, kind="stable")
+                rows, leaves = rows[order], leaves[order]
+                first = np.flatnonzero(np.diff(leaves, prepend=-1))
+                hits = []
+                for some, k in zip(np.split(rows, first[1:]), leaves[first]):
+                    who = n[some]
+                    got = self.score(q[who], q_ids[who], bound[who], self.leaves[k], cut)
+                    hits.append((some[got[0]], got[2]))
+                    yield who, *got
+                if cut:
+                    who, s = (np.concatenate([best[i], *(h[i] for h in hits)]) for i in (0, 1))
+                    order = np.lexsort((-s, who))
+                    who, s = who[order], s[order]
+                    place = np.arange(len(who)) - np.searchsorted(who, who)
+                    full = place == K - 1
+                    bound[n[who[full]]] = np.maximum(bound[n[who[full]]], s[full] - 2e-9)
+                    best = who[place < K], s[place < K]
+                going = ~now & (gap < (2 - 2 * bound[n[r]]) * REACH + 1e-9)
+                self.stopped += int((~now & ~going).sum())
+                r, c, gap, rank = r[going], c[going], gap[going], rank[going]
+                taken = 2 * taken + 1
 
 
 def _solve(t: pa.Table) -> pa.Table:
@@ -306,13 +363,13 @@ def _solve(t: pa.Table) -> pa.Table:
 
     if len(block.ids):
         if _column(t, "portion")[0].as_py() == 0:
-            take(block.ids, False, block.search(block.x, block.p, block.ids, True, True))
+            take(block.ids, False, block.search(block.x, block.p, block.ids, True))
         for inner in (True, False):  # outer visitors are entered in both lists
             some = guests.filter(pa.array(_column(guests, "inner").to_numpy(zero_copy_only=False) == inner))
             if some.num_rows:
                 x, q_ids = _matrix(_column(some, "vec")), _column(some, "vid").to_numpy()
                 both = not inner and not block.outer
-                take(q_ids, both, block.search(x, x @ _DIRECTIONS, q_ids, not both, False))
+                take(q_ids, both, block.search(x, x @ _DIRECTIONS, q_ids, not both))
     return _listed(owners, ids, sims)
 
 
@@ -323,7 +380,7 @@ def _answer(t: pa.Table) -> pa.Table:
     owners, ids, sims = [], [], []
     if len(block.ids) and guests.num_rows:
         x, q_ids = _matrix(_column(guests, "vec")), _column(guests, "vid").to_numpy()
-        for n, r, c, s in block.search(x, x @ _DIRECTIONS, q_ids, True, False, _column(guests, "bound").to_numpy()):
+        for n, r, c, s in block.search(x, x @ _DIRECTIONS, q_ids, True, _column(guests, "bound").to_numpy()):
             owners.append(q_ids[n[r]])
             ids.append(block.ids[c])
             sims.append(s)
