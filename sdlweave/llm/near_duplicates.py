@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sdlweave.operators.components import components
-from sdlweave.runtime import stage
+from sdlweave.runtime import MAX_HOT_KEYS, salted_join, stage
 
 TYPES = ("object", "interface", "input", "enum")
 MIN_WORDS = 12
@@ -37,6 +37,8 @@ MIN_WORDS = 12
 RADIUS = 2
 #: Sets that share a table key from which it is salted, sets of one block, keys that the sketch reports.
 HOT_ROWS, BLOCK_ROWS, HOT_KEYS = 20_000, 4_000, 1_000
+#: Copies from which a class is hot.
+HOT_COPIES = 20_000
 _LABELS = 1 << (RADIUS + 1)
 _SKETCH_BITS, _SIZE_CAP = 52, 4095
 
@@ -138,7 +140,11 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Staged ``rep, words, n`` of the distinct sets, and ``rep, row_id`` of all rows."""
     base = stage(word_sets(docs))
     heads = base.groupBy("h1", "h2").agg(F.min("row_id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    member = stage(base.select("row_id", "h1", "h2").join(heads, ["h1", "h2"]).select("rep", "row_id", "n"))
+    keyed = base.select("row_id", "h1", "h2")
+    hot = heads.filter(F.col("n") >= HOT_COPIES).orderBy(F.desc("n"), "rep").limit(MAX_HOT_KEYS).select("h1", "h2")
+    heads, hot = stage(heads), stage(hot)
+    found = keyed.join(heads, ["h1", "h2"]) if hot.isEmpty() else salted_join(keyed, heads, ["h1", "h2"], hot=hot)
+    member = stage(found.select("rep", "row_id", "n"))
     reps = base.join(member.filter("rep = row_id").select("row_id", "n"), "row_id").select(F.col("row_id").alias("rep"), "words", "n")
     return reps, member
 
@@ -172,14 +178,25 @@ def links(reps: DataFrame) -> DataFrame:
     return stage(both.filter(common * 5 >= (F.size("wa") + F.size("wb") - common) * 4).select("a", "b"))
 
 
+def _hot_classes(member: DataFrame) -> DataFrame | None:
+    """``rep`` of the classes with very many copies, if there are any; the largest MAX_HOT_KEYS of them."""
+    hot = member.filter((F.col("rep") == F.col("row_id")) & (F.col("n") >= HOT_COPIES)).orderBy(F.desc("n"), "rep").limit(MAX_HOT_KEYS).select("rep")
+    return None if hot.isEmpty() else stage(hot)
+
+
+def _expanded(copies: DataFrame, other: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
+    """Join on ``key``; the copies of a hot class are spread over tasks, each of which gets the class's rows of ``other``."""
+    return copies.join(other, key) if hot is None else salted_join(copies, other, [key], hot=hot.toDF(key))
+
+
 def similar_pairs(docs: DataFrame) -> DataFrame:
     """``row_id_a, row_id_b``, smaller first: all similar pairs of rows, copies expanded."""
     reps, member = classes(docs)
-    found = links(reps)
-    rows = member.select("rep", "row_id")
-    across = found.join(rows.select(F.col("rep").alias("a"), F.col("row_id").alias("ra")), "a").join(rows.select(F.col("rep").alias("b"), F.col("row_id").alias("rb")), "b").select("ra", "rb")
-    copies = member.filter("n > 1").select("rep", "row_id")
-    within = copies.alias("x").join(copies.alias("y"), (F.col("x.rep") == F.col("y.rep")) & (F.col("x.row_id") < F.col("y.row_id"))).select(F.col("x.row_id").alias("ra"), F.col("y.row_id").alias("rb"))
+    found, hot = links(reps), _hot_classes(member)
+    half = _expanded(member.select(F.col("rep").alias("a"), F.col("row_id").alias("ra")), found, "a", hot).select("b", "ra")
+    across = _expanded(member.select(F.col("rep").alias("b"), F.col("row_id").alias("rb")), half, "b", hot).select("ra", "rb")
+    copies = member.filter("n > 1")
+    within = _expanded(copies.select("rep", F.col("row_id").alias("ra")), copies.select("rep", F.col("row_id").alias("rb")), "rep", hot).filter("ra < rb").select("ra", "rb")
     return across.union(within).select(F.least("ra", "rb").alias("row_id_a"), F.greatest("ra", "rb").alias("row_id_b"))
 
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sdlweave.runtime import BROADCAST_ROWS, stage
+from sdlweave.runtime import BROADCAST_ROWS, join_checked, salted_join, stage
 
 K, LEAST, WIDTH = 10, 0.85, 64
 #: Projected dimensions, and the level of the chi-square stopping test.
@@ -399,7 +399,7 @@ def distinct_vectors(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """One row per distinct vector (smallest id), and staged ``rep, vid`` of the groups of copies, if any."""
     keyed = rows.select("vid", F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(1), "vec").alias("h2"))
     heads = keyed.groupBy("h1", "h2").agg(F.min("vid").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    copies = stage(keyed.join(heads, ["h1", "h2"]).select("rep", "vid"))
+    copies = stage(join_checked(keyed, stage(heads), ["h1", "h2"]).select("rep", "vid"))
     if copies.isEmpty():
         return rows, None
     extra = copies.filter("rep <> vid").select("vid")
@@ -494,11 +494,17 @@ def neighbours(vectors: DataFrame, key: str = "stored_id", vector: str = "embedd
     if copies is None:
         return lists
     few = copies.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    hint = F.broadcast if few else (lambda x: x)
     first = copies.withColumn("rn", F.row_number().over(Window.partitionBy("rep").orderBy("vid"))).filter(F.col("rn") <= K + 1).select("rep", F.col("vid").alias("copy"))
-    wide = lists.join(hint(first.withColumnRenamed("rep", "other")), "other", "left").select("vid", F.coalesce("copy", "other").alias("other"), "sim")
+    named = first.withColumnRenamed("rep", "other")
+    wide = (lists.join(F.broadcast(named), "other", "left") if few else salted_join(lists, named, ["other"], "left")).select("vid", F.coalesce("copy", "other").alias("other"), "sim")
     own = copies.filter("rep = vid").select("rep").join(first, "rep").select(F.col("rep").alias("vid"), F.col("copy").alias("other"), F.lit(1.0).alias("sim"))
-    each = wide.union(own).join(hint(copies.select(F.col("rep").alias("vid"), F.col("vid").alias("row"))), "vid", "left").select(F.coalesce("row", "vid").alias("vid"), "other", "sim").filter("vid <> other")
+    all_lists, rows_of = wide.union(own), copies.select(F.col("rep").alias("vid"), F.col("vid").alias("row"))
+    if few:
+        each = all_lists.join(F.broadcast(rows_of), "vid", "left")
+    else:  # a vector with very many copies is spread over tasks, each of which gets its lists
+        single = all_lists.join(rows_of.select("vid").distinct(), "vid", "left_anti").withColumn("row", F.lit(None).cast("long"))
+        each = salted_join(rows_of, all_lists, ["vid"]).select("vid", "other", "sim", "row").unionByName(single)
+    each = each.select(F.coalesce("row", "vid").alias("vid"), "other", "sim").filter("vid <> other")
     rank = F.row_number().over(Window.partitionBy("vid").orderBy(F.desc("sim"), "other"))
     return each.withColumn("rn", rank).filter(F.col("rn") <= K).drop("rn")
 
@@ -525,7 +531,7 @@ def search(vectors: DataFrame, every: int = 100, key: str = "stored_id", vector:
     if copies is None:
         return flat
     first = copies.withColumn("rn", F.row_number().over(Window.partitionBy("rep").orderBy("vid"))).filter(F.col("rn") <= K + 1).select("rep", F.col("vid").alias("copy"))
-    wide = flat.join(first.withColumnRenamed("rep", "other"), "other", "left").select("vid", F.coalesce("copy", "other").alias("other"), "sim")
+    wide = salted_join(flat, first.withColumnRenamed("rep", "other"), ["other"], "left").select("vid", F.coalesce("copy", "other").alias("other"), "sim")
     own = first.filter(F.col("rep") % every == 0).select(F.col("rep").alias("vid"), F.col("copy").alias("other"), F.lit(1.0).alias("sim"))
     rank = F.row_number().over(Window.partitionBy("vid").orderBy(F.desc("sim"), "other"))
     return wide.union(own).filter("vid <> other").withColumn("rn", rank).filter(F.col("rn") <= K).drop("rn")

@@ -73,6 +73,7 @@ def test_near_duplicates_brute_force(spark, monkeypatch, hot):
     if hot:  # every key that two sets share counts as hot
         monkeypatch.setattr(D, "HOT_ROWS", 2)
         monkeypatch.setattr(D, "BLOCK_ROWS", 1)
+        monkeypatch.setattr(D, "HOT_COPIES", 2)
     data = type_rows(random.Random(3), 250)
     df = spark.createDataFrame([(*r, 1, 2, 3) for r in data], "row_id long, type string, content string, rep int, words int, sig int")
     sets = [(i, words(c)) for i, t, c in data if t in D.TYPES and i is not None]
@@ -144,7 +145,35 @@ def test_search_brute_force(spark, monkeypatch, small):
     assert V.search(df.limit(0)).count() == 0
 
 
-def test_neighbours_of_a_hot_group_and_of_nothing(spark):
+def test_neighbours_of_mostly_isolated_vectors(spark, monkeypatch):
+    """Far more clusters than prototypes: most rows are outer rows."""
+    monkeypatch.setattr(V, "SAMPLE", 300)
+    monkeypatch.setattr(V, "BLOCK_ROWS", 700)
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((1600, 64))
+    x = np.concatenate([base, base[:500] + rng.standard_normal((500, 64)) * 0.35]).astype(np.float32)
+    rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "stored_id long, embedding array<float>")
+    want, got = brute_neighbours(rows), {(r["vid"], r["other"]) for r in V.neighbours(df).collect()}
+    assert len(want) > 900 and len(got & want) >= 0.99 * len(want) and got <= want
+
+
+def test_the_stop_ends_most_of_the_search():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((200, 64))
+    x = (np.repeat(centres, 10, axis=0) + rng.standard_normal((2000, 64)) * 0.3).astype(np.float32)
+    t = pa.table({"vid": np.arange(2000), "vec": pa.array(list(x), pa.list_(pa.float32())), "cell": np.repeat(np.arange(200), 10).astype(np.int32), "inner": pa.array([True] * 2000)})
+    b = V.Block(t)
+    hits = sum(len(r) for _, r, _, _ in b.search(b.x, b.p, b.ids, True))
+    assert hits >= 2000 * 9 * 0.8 and b.stopped > 0.75 * b.tested and b.kept <= 0.02 * b.tested
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_neighbours_of_a_hot_group_and_of_nothing(spark, monkeypatch, few):
+    if not few:
+        monkeypatch.setattr(V, "BROADCAST_ROWS", 0)
     rows = vector_rows(2, 60, 400)
     df = spark.createDataFrame(rows, "stored_id long, embedding array<float>")
     assert {(r["vid"], r["other"]) for r in V.neighbours(df).collect()} == brute_neighbours(rows)
@@ -297,6 +326,14 @@ def test_containers_hold_every_item_once(spark):
     assert C.pack(df.limit(0)).count() == 0
 
 
+def test_repeated_words_with_stops_are_prose_to_the_density(spark):
+    """The same words in short sentences: redundant, but not poor in punctuation."""
+    rnd = random.Random(8)
+    line = lambda: " ".join(rnd.choice(["kettle", "raft", "harbor", "mirror"]) for _ in range(5)) + "."
+    rows = [(1, added("a.md", [line() for _ in range(30)]), "en")] + [(10 + i, HEAD + "".join(f"    {line()}\n" for _ in range(9)), "en") for i in range(40)]
+    assert S.spam(spark.createDataFrame(rows, "doc_id long, text string, lang string")).count() == 0
+
+
 # -- spam ---------------------------------------------------------------------------------------
 HEAD = "commit 1a545a4ea95f51c938aa742b1d2db39fbe400684\nAuthor: a <a@b.invalid>\nDate:   2024-10-04 17:39:41 +0000\n\n    Update\n\n"
 FILE = "diff --git a/{0} b/{0}\nnew file mode 100644\nindex 0000000..521deb3\n--- /dev/null\n+++ b/{0}\n@@ -0,0 +1,9 @@\n"
