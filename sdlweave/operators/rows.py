@@ -38,14 +38,16 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "id", order: Sequence[str]
     return keep_last(both, [key], ["_src", *order]).drop("_src")
 
 
-def delete_by_keys(df: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:
-    return df.join(keys.select(key), key, "left_anti")
+def delete_by_keys(df: DataFrame, keys: DataFrame, key: str | Sequence[str] = "id") -> DataFrame:
+    """Rows whose key is not among ``keys``; null keys match nothing and stay."""
+    names = [key] if isinstance(key, str) else list(key)
+    return df.join(keys.select(*names), names, "left_anti")
 
 
-def group_fields(df: DataFrame, parent: Column, order: str, text: str) -> DataFrame:
-    """``parent, n, body``: the texts of each parent in order; rows without a parent go to Unknown."""
+def group_fields(df: DataFrame, parent: Column, order: str, text: str, keys: Sequence[str] = ()) -> DataFrame:
+    """``*keys, parent, n, body``: the texts of each parent in order; rows without a parent go to Unknown."""
     items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
-    return df.groupBy(F.coalesce(parent, F.lit("Unknown")).alias("parent")).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(items, lambda x: x["t"]), "\n").alias("body"))
+    return df.groupBy(*keys, F.coalesce(parent, F.lit("Unknown")).alias("parent")).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(items, lambda x: x["t"]), "\n").alias("body"))
 
 
 def merge_chunks(chunks: DataFrame) -> DataFrame:

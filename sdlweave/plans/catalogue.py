@@ -204,9 +204,7 @@ def namespace_list(spark, d):
 @query("""select collection, coalesce(metadata.parentType, 'Unknown') as parent, count(*) as n, string_agg(content, chr(10) order by row_id) as body
 from embedding_documents where type = 'field' group by all""")
 def fields_by_parent(spark, d):
-    parts = _docs(spark, d).filter("type = 'field'")
-    items = F.array_sort(F.collect_list(F.struct("row_id", "content")))
-    return parts.groupBy("collection", F.coalesce("metadata.parentType", F.lit("Unknown")).alias("parent")).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(items, lambda x: x["content"]), "\n").alias("body"))
+    return rows.group_fields(_docs(spark, d).filter("type = 'field'"), F.col("metadata.parentType"), "row_id", "content", ["collection"])
 
 
 _CATEGORY = "case when type = 'field' then case when metadata.parentType in ('Query', 'Mutation', 'Subscription') then lower(metadata.parentType) else 'field' end else 'type' end"
@@ -286,7 +284,7 @@ def upsert_merge(spark, d):
 @query("select row_id, collection, name from embedding_documents e where type <> 'field' and not exists (select 1 from removals r where r.collection = e.collection and r.type_name = e.name)")
 def delete_by_keys(spark, d):
     gone = table(spark, d, "removals").select("collection", F.col("type_name").alias("name")).distinct()
-    return _docs(spark, d).filter("type <> 'field'").join(gone, ["collection", "name"], "left_anti").select("row_id", "collection", "name")
+    return rows.delete_by_keys(_docs(spark, d).filter("type <> 'field'"), gone, ["collection", "name"]).select("row_id", "collection", "name")
 
 
 @query("""with c as (select collection, type, name, metadata.chunkIndex as i, max(metadata.totalChunks) over (partition by collection, type, name) as t from embedding_documents where metadata.chunkIndex is not null)

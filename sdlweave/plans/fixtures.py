@@ -1,4 +1,4 @@
-"""Registered queries over a schema text of our own, with answers derived by hand from the rules.
+"""Queries over a schema text of our own, with answers derived by hand from the rules.
 
 The text covers every kind of definition: roots, an extension, a cycle, descriptions with signs, defaults,
 deprecation, an enum used as input without suffix and one with it used as output, and composed directives.

@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,14 +51,23 @@ def importable(spark: SparkSession) -> None:
 
 
 _own_folder: list[str] = []
-_staged: list[str] = []
+_staged: list[tuple[str, object]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests) one of our own."""
+    """The folder of ``spark.checkpoint.dir``, or the one that ``setCheckpointDir`` has set.
+
+    Where neither is set a local master (tests) gets a folder of our own; on a cluster that is an error, since the
+    folder of one machine is not there on another.
+    """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        named = given.get() if given.isDefined() else None
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     if not _own_folder:
         path = tempfile.mkdtemp(prefix="sdlweave-")
         atexit.register(shutil.rmtree, path, ignore_errors=True)
@@ -73,7 +83,10 @@ def stage(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
-    _staged.append(path)
+    if not _staged:
+        atexit.register(_drop_at_exit)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    _staged.append((path, p.getFileSystem(spark._jsc.hadoopConfiguration())))
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -82,10 +95,20 @@ def stage(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
 
 
 def drop_staged(spark: SparkSession) -> None:
-    """Delete what this process staged; call it when no result that reads it is needed any more."""
+    """Delete what this process staged; call it when no result that reads it is needed any more. Done at its end in any case."""
     while _staged:
-        p = spark._jvm.org.apache.hadoop.fs.Path(_staged.pop())
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        path, files = _staged.pop()
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
+
+
+def _drop_at_exit() -> None:
+    jvm = SparkContext._jvm
+    while _staged and jvm is not None:
+        path, files = _staged.pop()
+        try:
+            files.delete(jvm.org.apache.hadoop.fs.Path(path), True)
+        except Exception:  # noqa: BLE001 - the JVM may be gone by now
+            return
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,9 +118,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores if its scan has fewer splits than there are, as a small single file has; else as it is.
 
-    For CPU-bound Python stages: a large input is never moved by this.
+    For CPU-bound Python stages: a large input is never moved by this, nor one that is shuffled anyway.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():  # counting its partitions would run its stages
+        return df
     return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
