@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,13 +32,12 @@ def bfs(links: DataFrame, seeds: DataFrame, max_depth: int | None = MAX_DEPTH, k
     """
     k = list(keys)
     front = stage(seeds.select(*k, "node").distinct().withColumn("depth", F.lit(0)))
-    levels, seen, depth = [front], front, 0
+    seen, depth = front, 0
     while (max_depth is None or depth < max_depth) and not front.isEmpty():
         depth += 1
         reached = links.join(front.select(*k, F.col("node").alias("src")), [*k, "src"]).select(*k, F.col("dst").alias("node")).distinct()
         front = stage(reached.join(seen.select(*k, "node"), [*k, "node"], "left_anti").withColumn("depth", F.lit(depth)))
-        levels.append(front)
-        seen = reduce(DataFrame.unionByName, levels)
+        seen = stage(seen.unionByName(front))  # one table a round, so no plan grows with the rounds
     return seen
 
 

@@ -73,12 +73,13 @@ def unit_rows(vectors: pa.Array, width: int | None = None) -> tuple[np.ndarray,
     return at[ok].astype(np.int64), x[ok] / np.linalg.norm(x[ok], axis=1, keepdims=True)
 
 
-def batch_top_k(df: DataFrame, queries: DataFrame, k: int = DEFAULT_LIMIT, key: str = "id", query_key: str = "query_id", vector: str = "embedding", query: str = "query", block: int = 5_000) -> DataFrame:
+def batch_top_k(df: DataFrame, queries: DataFrame, k: int = DEFAULT_LIMIT, key: str = "id", query_key: str = "query_id", vector: str = "embedding", query: str = "query", block: int = 5_000, lists: tuple[np.ndarray, int] | None = None) -> DataFrame:
     """``query_key, key, score, rank`` of a stated set of queries, of one width, against all rows.
 
     The queries are counted and go to the tasks in blocks of about ``block``. A task multiplies each batch of rows with
     all of them and passes on the ``k`` best a query, so no pair reaches a shuffle that could not win. Vectors that
-    cannot be compared take no part; the smaller key wins a tie.
+    cannot be compared take no part; the smaller key wins a tie. With ``lists``, centroids and a number of probes, ``df`` has a
+    ``cell`` and a query is compared with the rows of its nearest lists only.
     """
     stated = queries.select(F.col(query_key), F.col(query))
     blocks = max(1, -(-stated.count() // block))
@@ -87,12 +88,17 @@ def batch_top_k(df: DataFrame, queries: DataFrame, k: int = DEFAULT_LIMIT, key:
     for n in range(blocks):
         part = (stated if blocks == 1 else stated.filter(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == n)).toArrow().combine_chunks()  # a block of queries
         at, q = unit_rows(part.column(1).chunk(0) if part.num_rows else pa.array([], pa.list_(pa.float64())))
-        out.append(df.select(key, vector).mapInArrow(_scorer(part.column(0).take(pa.array(at)).combine_chunks(), q, k, query_key, key), shape))
+        near = None
+        if lists is not None and len(q):
+            near = np.zeros((len(q), len(lists[0])), bool)
+            np.put_along_axis(near, np.argsort(-(q @ lists[0].T), axis=1, kind="stable")[:, : lists[1]], True, axis=1)
+        read = df.select(key, vector, *(["cell"] if lists is not None else []))
+        out.append(read.mapInArrow(_scorer(part.column(0).take(pa.array(at)).combine_chunks(), q, k, query_key, key, near), shape))
     order = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
     return reduce(DataFrame.unionByName, out).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _scorer(query_keys: pa.Array, q: np.ndarray, k: int, query_key: str, key: str):
+def _scorer(query_keys: pa.Array, q: np.ndarray, k: int, query_key: str, key: str, near: np.ndarray | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows if len(q) else 0, 2_000):
@@ -103,8 +109,14 @@ def _scorer(query_keys: pa.Array, q: np.ndarray, k: int, query_key: str, key: st
                 keys = b.column(0).take(pa.array(at))
                 order = pc.array_sort_indices(keys).to_numpy()  # by key, so that a stable sort by score breaks ties
                 s = q @ x[order].T
+                if near is not None:
+                    s[~near[:, b.column(2).to_numpy(zero_copy_only=False)[at][order]]] = -2
                 best = np.argsort(-s, axis=1, kind="stable")[:, :k]
                 r = np.repeat(np.arange(len(q)), best.shape[1])
+                if near is not None:
+                    held = s[r, best.ravel()] > -2
+                    yield pa.RecordBatch.from_arrays([query_keys.take(pa.array(r[held])), keys.take(pa.array(order[best.ravel()[held]])), pa.array(s[r, best.ravel()][held])], names=[query_key, key, "score"])
+                    continue
                 yield pa.RecordBatch.from_arrays([query_keys.take(pa.array(r)), keys.take(pa.array(order[best.ravel()])), pa.array(s[r, best.ravel()])], names=[query_key, key, "score"])
 
     return run

@@ -123,6 +123,18 @@ def ivf_all_probes(spark, d):
     return _round(ivf.probe(ivf.assign(v, c), c, Q, 10, len(c), key="vec_id"), "vec_id")
 
 
+@query("select count(*) as queries, true as reached from embeddings where vec_id % 100 = 0")
+def ivf_recall(spark, d):
+    """Stated queries on 100 lists with as many probes as the calibration gives: whether at least 0.9 of the true ten nearest are found."""
+    v = _vectors(spark, d).select("vec_id", "embedding")
+    centroids, probes = ivf.fit_calibrated(v, 100, 0.95, key="vec_id")
+    asked = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    exact = search.batch_top_k(v, asked, 10, key="vec_id")
+    found = search.batch_top_k(ivf.assign(v, centroids), asked, 10, key="vec_id", lists=(centroids, probes))
+    both = exact.select("query_id", "vec_id").join(found.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")
+    return both.agg(F.count_distinct("query_id").alias("queries"), (F.sum(F.coalesce("hit", F.lit(0))) >= 0.9 * F.count(F.lit(1))).alias("reached"))
+
+
 @query(f"with q as (select {_VEC} as e from embeddings where vec_id = 0) select vec_id, round(list_cosine_similarity({_VEC}, q.e), 6) as score from embeddings, q where list_cosine_similarity({_VEC}, q.e) >= 0.5")
 def near_one(spark, d):
     v = _vectors(spark, d)
