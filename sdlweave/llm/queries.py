@@ -48,6 +48,11 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return T.token_ids(table(spark, d, "documents"))
 
 
+def p7_checks(spark: SparkSession, d: str) -> DataFrame:
+    """The exact round trip of every text."""
+    return T.checks(table(spark, d, "documents"))
+
+
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return C.containers(table(spark, d, "documents"))
 
@@ -65,7 +70,7 @@ def p9_scores(spark: SparkSession, d: str) -> DataFrame:
     return S.spam(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_neighbours, p4_found, p4_pieces, p4_checks, p7_ids, p8_containers, p8_checks, p9_found, p9_scores)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_neighbours, p4_found, p4_pieces, p4_checks, p7_ids, p7_checks, p8_containers, p8_checks, p9_found, p9_scores)}
 
 _USABLE = """v as (select stored_id as i, list_transform(embedding, lambda x: x::double) as e from stored_documents
   where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64 and len(list_filter(embedding, lambda x: x <> 0)) > 0)"""
@@ -97,6 +102,8 @@ select x as row_id_a, y as row_id_b from p where c * 5 >= (n - c) * 4""",
 s as (select a.i as q, b.i as o, round(list_cosine_similarity(a.e, b.e), 9) as sim from v a join v b on a.i <> b.i where a.i % 100 = 0)
 select q as stored_id, o as neighbour_id, sim as similarity from s qualify row_number() over (partition by q order by sim desc, o) <= 10""",
     "p4_checks": "select row_id, cast(length(content) as integer) as n_chars, true as within_limit, true as numbered, true as members_held from embedding_documents where length(content) > 2000 and metadata.chunkIndex is null",
+    "p7_checks": """select 'documents' as check_name, count(*) as n from documents
+union all select 'empty', count(*) from documents where text is null or text = '' union all select 'not_decoded', 0""",
     "p8_checks": """select 'documents' as check_name, count(distinct doc_id) as n from documents
 union all select 'overfull', 0 union all select 'split_small', 0 union all select 'unnumbered', 0""",
 }

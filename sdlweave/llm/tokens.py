@@ -17,6 +17,7 @@ import base64
 import os
 import re
 from collections.abc import Iterator
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sdlweave.runtime import spread
+from sdlweave.runtime import spread, stage
 
 VOCABULARY = os.environ.get("SDLWEAVE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: The pre-token pattern of the vocabulary, a fixed value.
@@ -184,3 +185,21 @@ def token_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", path: st
 def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = VOCABULARY, chunk: int = CHUNK) -> DataFrame:
     """``doc_id, n``: the number of ids of each text, without the ids leaving the worker."""
     return _encoded(docs, True, key, text, path, chunk)
+
+
+def _decoded(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [md5(decode(i or [], path)).hexdigest() for i in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.string())], names=["doc_id", "decoded"])
+
+    return run
+
+
+def checks(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
+    """``check_name, n``: documents with ids, those with an empty list, and those whose ids do not decode to the bytes of their text."""
+    ids = stage(token_ids(docs, path=path))
+    back = ids.mapInArrow(_decoded(path), "doc_id long, decoded string")
+    wrong = docs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("own")).join(back, "doc_id").filter("own <> decoded")
+    some = lambda name, df: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("check_name"), "n")
+    return some("documents", ids).union(some("empty", ids.filter(F.size("ids") == 0))).union(some("not_decoded", wrong))
