@@ -170,6 +170,19 @@ def test_the_stop_ends_most_of_the_search():
     assert hits >= 2000 * 9 * 0.8 and b.stopped > 0.75 * b.tested and b.kept <= 0.02 * b.tested
 
 
+def test_a_block_the_stop_leaves_open_is_verified_at_once():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((2500, 64))
+    x = np.concatenate([x, x[:500] + rng.standard_normal((500, 64)) * 0.3]).astype(np.float32)
+    t = pa.table({"vid": np.arange(3000), "vec": pa.array(list(x), pa.list_(pa.float32())), "cell": np.zeros(3000, np.int32), "inner": pa.array([False] * 3000)})
+    b = V.Block(t)
+    parts = list(b.search(b.x, b.p, b.ids, True))
+    got = {(int(n[i]), int(j)) for n, r, c, _ in parts for i, j in zip(r, b.ids[c])}
+    assert got == brute_neighbours(list(enumerate(x.tolist()))) and len(parts) <= 3000 / V.AT_ONCE + 2
+
+
 @pytest.mark.parametrize("few", [True, False])
 def test_neighbours_of_a_hot_group_and_of_nothing(spark, monkeypatch, few):
     if not few:
