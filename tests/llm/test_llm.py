@@ -170,17 +170,48 @@ def test_the_stop_ends_most_of_the_search():
     assert hits >= 2000 * 9 * 0.8 and b.stopped > 0.75 * b.tested and b.kept <= 0.02 * b.tested
 
 
-def test_a_block_the_stop_leaves_open_is_verified_at_once():
-    import pyarrow as pa
+@pytest.mark.parametrize("sample", [300])
+def test_many_outer_rows_are_sent_a_bounded_number_of_times(spark, monkeypatch, sample):
+    """Levels of prototypes and then tables, where blocks of outer rows would meet one another."""
+    for k, v in {"SAMPLE": sample, "BLOCK_ROWS": 200}.items():
+        monkeypatch.setattr(V, k, v)
+    sent, place = [], V.Index.place
+    monkeypatch.setattr(V.Index, "place", lambda self, routed: sent.append((self, routed)) or place(self, routed))
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((700, 64))
+    x = np.concatenate([base, np.repeat(base[:150], 8, axis=0) + rng.standard_normal((1200, 64)) * 0.35]).astype(np.float32)
+    rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "stored_id long, embedding array<float>")
+    want, got = brute_neighbours(rows), {(r["vid"], r["other"]) for r in V.neighbours(df).collect()}
+    assert len(got & want) >= 0.995 * len(want) and len(got) <= len(want)
+    assert [i.outer > V.BLOCK_ROWS for i, _ in sent] == [True, True]  # the rest is dealt to tables
 
-    rng = np.random.default_rng(4)
-    x = rng.standard_normal((2500, 64))
-    x = np.concatenate([x, x[:500] + rng.standard_normal((500, 64)) * 0.3]).astype(np.float32)
-    t = pa.table({"vid": np.arange(3000), "vec": pa.array(list(x), pa.list_(pa.float32())), "cell": np.zeros(3000, np.int32), "inner": pa.array([False] * 3000)})
-    b = V.Block(t)
-    parts = list(b.search(b.x, b.p, b.ids, True))
-    got = {(int(n[i]), int(j)) for n, r, c, _ in parts for i, j in zip(r, b.ids[c])}
-    assert got == brute_neighbours(list(enumerate(x.tolist()))) and len(parts) <= 3000 / V.AT_ONCE + 2
+
+def test_tables_miss_a_close_pair_as_seldom_as_the_stop():
+    rng = np.random.default_rng(8)
+    for spread in (1.0, 0.5):  # the second lies in a cone
+        x = rng.standard_normal((4000, 64)) * spread / 8
+        x[:, 0] += 1 - spread
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        e = rng.standard_normal((4000, 64))
+        e -= (e * x).sum(1, keepdims=True) * x
+        y = 0.85 * x + math.sqrt(1 - 0.85**2) * e / np.linalg.norm(e, axis=1, keepdims=True)
+        missed = np.ones(4000, bool)
+        for d, cuts in V.tables(200_000, x):
+            missed &= ((x @ d > cuts) != (y @ d > cuts)).any(1)
+        assert missed.mean() <= 0.003
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_copies_get_cut_lists(spark, monkeypatch, few):
+    """A list is cut before each of the copies gets it: K entries a row, whatever the neighbours' own copies."""
+    if not few:
+        monkeypatch.setattr(V, "BROADCAST_ROWS", 0)
+    copies = spark.createDataFrame([(k, k + 10 * i) for k in range(10) for i in range(30)], "rep long, vid long")
+    lists = spark.createDataFrame([(a, b, 0.9) for a in range(10) for b in range(10) if a != b] + [(900, 1, 0.9)], "vid long, other long, sim double")
+    got = V.lists_of_copies(lists, copies)
+    assert got.count() == V.K * 301
+    assert {(r["other"], r["sim"]) for r in got.filter("vid = 40").collect()} == {(10 * i, 1.0) for i in range(11) if i != 4}
 
 
 @pytest.mark.parametrize("few", [True, False])
