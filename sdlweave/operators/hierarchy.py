@@ -100,7 +100,10 @@ class Solved:
         self.pos, self.head = [-1] * n, [-1] * n
 
     def label(self) -> Solved:
-        """Sizes, then positions in preorder within a root, the heavy child first: an interval per subtree and per chain."""
+        """Sizes, then positions in preorder within a root, the heavy child first: an interval per subtree and per chain.
+
+        Root and depth of a node are read off its chain: those of the head, and the steps from there.
+        """
         children: list[list[int]] = [[] for _ in self.names]
         for v in reversed(self.order):
             if (p := self.parent[v]) >= 0:
@@ -117,6 +120,9 @@ class Solved:
             for i, c in enumerate(some):
                 self.pos[c], self.head[c] = at, c if i else self.head[v]
                 at += self.size[c]
+        for v in self.order:
+            if (h := self.head[v]) != v:
+                self.root[v], self.depth[v] = self.root[h], self.depth[h] + self.pos[v] - self.pos[h]
         return self
 
     def name(self, v: int) -> str | None:
@@ -209,13 +215,11 @@ _TYPES = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.stri
 _NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
-def _solver(labels: bool, paths: bool):
+def _solver(paths: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = pa.Table.from_batches(batches)
         collection = got["collection"][0].as_py()
-        solved = Solved(*_block(got))
-        if labels:
-            solved.label()
+        solved = Solved(*_block(got)).label()
 
         def batch(first: int, last: int, *more: pa.Array) -> pa.RecordBatch:
             cols = [pa.array(c, t) for c, t in zip(solved.columns(range(first, last)), _TYPES)]
@@ -237,21 +241,21 @@ def _solver(labels: bool, paths: bool):
     return run
 
 
-def hierarchy(docs: DataFrame, bound: int = BOUND, labels: bool = True) -> DataFrame:
+def hierarchy(docs: DataFrame, bound: int = BOUND) -> DataFrame:
     """One row per distinct collection and type name; columns as in ``SCHEMA``.
 
     ``chain`` names the head of the node's chain, ``pos`` counts within its root. A type that no root leads to has root '',
-    depth -1, null parent and chain, position -1 and size 0. Without ``labels`` chain, position and size are not worked out.
+    depth -1, null parent and chain, position -1 and size 0.
     """
     few, many = _by_size(docs, bound)
-    solved = few.groupBy("collection").applyInArrow(_solver(labels, False), SCHEMA)
-    return solved if many is None else solved.unionByName(_named(solve_distributed(many, labels)))
+    solved = few.groupBy("collection").applyInArrow(_solver(False), SCHEMA)
+    return solved if many is None else solved.unionByName(_named(solve_distributed(many)))
 
 
 def paths(docs: DataFrame, bound: int = BOUND) -> DataFrame:
     """:func:`hierarchy` with ``path``, the names from the root on; null where no root leads. Its length is the sum of depths."""
     few, many = _by_size(docs, bound)
-    solved = few.groupBy("collection").applyInArrow(_solver(True, True), PATHS)
+    solved = few.groupBy("collection").applyInArrow(_solver(True), PATHS)
     return solved if many is None else solved.unionByName(_named(_joined_paths(stage(solve_distributed(many)))))
 
 
@@ -276,16 +280,15 @@ def _graph(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, stage(edges.select("_c", "src", "dst").distinct())
 
 
-def solve_distributed(links: DataFrame, labels: bool = True) -> DataFrame:
+def solve_distributed(links: DataFrame) -> DataFrame:
     """The same as :class:`Solved` by joins; ``links`` has ``_c, src, dst`` with node rows as null ``dst``.
 
     Every round is staged, so no plan grows with the number of rounds.
     """
     nodes, edges = _graph(links)
     tree = _forest(nodes, stage(edges.filter(F.col("src") != F.col("dst"))))
-    shaped = _label(tree) if labels else tree.select("*", F.lit(1).alias("size"), F.lit(-1).alias("pos"), F.lit(None).cast("string").alias("chain"))
     return (
-        nodes.join(shaped, ["_c", "v"], "left")
+        nodes.join(_label(tree), ["_c", "v"], "left")
         .join(on_cycle(edges).withColumn("on", F.lit(1)), ["_c", "v"], "left")
         .select("_c", F.col("v").alias("type_name"), F.coalesce("root", F.lit("")).alias("root_name"), F.coalesce("depth", F.lit(-1)).alias("depth"), F.coalesce("on", F.lit(0)).alias("on_cycle"), F.col("parent").alias("parent_name"), "chain", F.coalesce("pos", F.lit(-1)).cast("int").alias("pos"), F.coalesce("size", F.lit(0)).cast("int").alias("subtree_size"))
     )

@@ -137,6 +137,22 @@ def test_hierarchy_solver(links):
             assert 2 * size <= at[parent][7]
 
 
+def test_found_types_come_through_their_chains(spark, data, monkeypatch):
+    from sdlweave.plans import problems
+
+    trees, whole = [], H.hierarchy
+    monkeypatch.setattr(H, "hierarchy", lambda *a, **k: trees.append(whole(*a, **k)) or trees[-1])
+    assert problems.p6_found(spark, data).count() == trees[0].count() > 0
+    led = trees[0].filter("depth >= 0")
+    assert led.count() > led.filter("depth > 0").count() > 0 == led.filter("chain is null or pos < 0 or subtree_size < 1").count()
+    solved = H.Solved(list("abcdef"), [(0, 1), (1, 2), (1, 3), (3, 4), (5, 5)])
+    want = list(solved.root), list(solved.depth)
+    for v in (1, 3, 4):  # below a head on the heavy chain
+        solved.root[v] = solved.depth[v] = 7
+    solved.label()
+    assert (solved.root, solved.depth) == want
+
+
 def hierarchy_rows(rnd, n=60):
     rows = []
     for i in range(n):
